@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintloom.llm import prefix_counts, token_automaton
+from glintloom.llm import decontamination, near_duplicates, prefix_counts, token_automaton
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.near_duplicate_components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", near_duplicates.fingerprint_text(F.col("sig")).alias("fingerprint"), "component_id")
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digests(decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     counted = prefix_counts.prefix_token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id", "n_bytes"])
@@ -31,10 +40,14 @@ def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_simhash_near_dedup": op3_simhash_near_dedup,
+        "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op6_token_counts": op6_token_counts,
         "op7_bpe_automaton": op7_bpe_automaton,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_benchmark_decontamination": decontamination.oracle(),
+    }
