@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintloom.llm import decontamination, near_duplicates, prefix_counts, token_automaton
+from glintloom.llm import decontamination, near_duplicates, prefix_counts, quality_rules, sharding, token_automaton
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,16 +38,30 @@ def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_automaton.digests(token_automaton.bpe_decode(encoded, path))
 
 
+def op9_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judged(quality_rules.line_verdicts(_table(spark, sf_dir, "documents")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_left", "base_failed", "kept")
+
+
+def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign_shards(_table(spark, sf_dir, "documents"), 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op6_token_counts": op6_token_counts,
         "op7_bpe_automaton": op7_bpe_automaton,
+        "op9_line_frequency_rules": op9_line_frequency_rules,
+        "op10_stratified_shards": op10_stratified_shards,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_benchmark_decontamination": decontamination.oracle(),
+        "op9_line_frequency_rules": quality_rules.oracle(),
+        "op10_stratified_shards": sharding.oracle(24),
     }
