@@ -45,10 +45,19 @@ def release(spark: SparkSession) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def join_sized(left: DataFrame, right: DataFrame, on: list[str] | Column, how: str, rows: int | None = None) -> DataFrame:
-    """left joined with a materialised right side: broadcast if it has at most BROADCAST_ROWS rows, else shuffled."""
+def join_sized(left: DataFrame, right: DataFrame, on: list[str] | Column, how: str, rows: int | None = None, salts: int = 1) -> DataFrame:
+    """left joined with a materialised right side: broadcast if it has at most BROADCAST_ROWS rows, else shuffled.
+
+    With salts > 1 (for column names in `on`) the rows of a shuffled key are dealt to so many tasks, and right is repeated as often.
+    """
     n = right.count() if rows is None else rows
-    return left.join(F.broadcast(right) if n <= BROADCAST_ROWS else right, on, how)
+    if n <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), on, how)
+    if salts == 1:
+        return left.join(right, on, how)
+    dealt = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.join(copies, [*on, "__salt"], how).drop("__salt")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

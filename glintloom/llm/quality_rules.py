@@ -104,7 +104,7 @@ def line_verdicts(docs: DataFrame, host: str = "source", limits: LineLimits = Li
     rows = materialise(measured(docs, host))
     frequent = materialise(frequent_lines(rows, limits))
     lines = rows.select("doc_id", "key", F.coalesce("host", F.lit("")).alias("host"), F.explode("lines").alias("line")).select("doc_id", "key", "host", "line.*")
-    marked = join_sized(lines, frequent.select("host", "hash"), ["host", "hash"], "left_semi")
+    marked = join_sized(lines, frequent.select("host", "hash"), ["host", "hash"], "left_semi", salts=16)
     # repeated rows repeat their lines
     lost = marked.groupBy("doc_id", "key", "host", "number").agg(F.first("words").alias("words"))
     lost = lost.groupBy("doc_id", "key", "host").agg(F.sort_array(F.collect_list("number")).alias("removed"), F.sum("words").alias("n_removed"))

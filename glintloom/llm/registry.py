@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintloom.llm import decontamination, near_duplicates, prefix_counts, quality_rules, sharding, token_automaton
+from glintloom.llm import decontamination, line_dedup, near_duplicates, prefix_counts, quality_rules, sharding, token_automaton, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.repeated_lines(docs)
+    return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed")
+
+
+#: The rules of query op2.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_filters.judge_urls(pages, url_filters.page_outcomes(pages, _table(spark, sf_dir, "labels")), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", F.round("bad_bound", 6).alias("bad_bound"), "verdict")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates.near_duplicate_components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", near_duplicates.fingerprint_text(F.col("sig")).alias("fingerprint"), "component_id")
@@ -50,6 +66,8 @@ def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_fuzzy_line_dedup": op1_fuzzy_line_dedup,
+        "op2_host_reputation": op2_host_reputation,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op6_token_counts": op6_token_counts,
@@ -61,6 +79,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_host_reputation": url_filters.oracle(URL_RULES),
         "op4_benchmark_decontamination": decontamination.oracle(),
         "op9_line_frequency_rules": quality_rules.oracle(),
         "op10_stratified_shards": sharding.oracle(24),
