@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintloom.llm import decontamination, line_dedup, near_duplicates, prefix_counts, quality_rules, sharding, token_automaton, url_filters
+from glintloom.llm import decontamination, license_scan, line_dedup, near_duplicates, prefix_counts, quality_rules, secret_scan, sharding, token_automaton, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,12 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.digests(decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secret_scan.train(secret_scan.made_findings(spark))
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"), model)
+    return found.select("doc_id", "number", F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     counted = prefix_counts.prefix_token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id", "n_bytes"])
@@ -54,6 +60,11 @@ def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_automaton.digests(token_automaton.bpe_decode(encoded, path))
 
 
+def op8_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = license_scan.train(license_scan.made_paragraphs(spark))
+    return license_scan.scan(_table(spark, sf_dir, "documents"), model)
+
+
 def op9_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judged(quality_rules.line_verdicts(_table(spark, sf_dir, "documents")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_left", "base_failed", "kept")
@@ -70,8 +81,10 @@ def queries() -> dict[str, Query]:
         "op2_host_reputation": op2_host_reputation,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
+        "op5_secret_forest": op5_secret_forest,
         "op6_token_counts": op6_token_counts,
         "op7_bpe_automaton": op7_bpe_automaton,
+        "op8_license_classifier": op8_license_classifier,
         "op9_line_frequency_rules": op9_line_frequency_rules,
         "op10_stratified_shards": op10_stratified_shards,
     }
