@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glintloom.llm.common import materialise
+from glintloom.llm.common import join_sized, materialise, text_key
 from glintloom.llm.linking import bucket_components
 
 MAX_BITS = 4
@@ -52,15 +52,15 @@ def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, sig): the SimHash of each document as a signed long. Null texts have no words."""
-    read = docs.select("doc_id", "text")
+    """(doc_id, key, sig): hash of the text and SimHash, as a signed long, of each document. Null texts have no words."""
+    read = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([simhash(t, shingle, seed) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], names=["doc_id", "sig"])
+            made = np.array([simhash(t, shingle, seed) for t in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made)], names=["doc_id", "key", "sig"])
 
-    return read.mapInArrow(run, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, sig long")
+    return read.mapInArrow(run, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, key long, sig long")
 
 
 def _segment(bits: Column, first: int, width: int) -> Column:
@@ -81,7 +81,7 @@ def _within(a: Column, b: Column, key: Column) -> Column:
 
 
 def near_duplicate_components(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, sig and component_id: the smallest doc_id reachable over fingerprints that differ in at most four bits.
+    """doc_id, key, sig, component and component_id: the smallest doc_id reachable over fingerprints that differ in at most four bits.
 
     One row for each row of docs. Null, empty and blank texts have fingerprint zero and
     are linked like any others. Equal texts and ties fall into one component; repeated
@@ -98,10 +98,30 @@ def attach_components(prints: DataFrame, nodes: DataFrame, found: DataFrame) ->
     """prints with component_id, the smallest doc_id of all nodes in the component of its signature."""
     least = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     smallest = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_sig = least.join(smallest, "component").select("sig", "component_id")
-    return prints.join(by_sig, "sig").select("doc_id", "sig", "component_id")
+    by_sig = least.join(smallest, "component").select("sig", "component", "component_id")
+    return prints.join(by_sig, "sig").select("doc_id", "key", "sig", "component", "component_id")
 
 
 def fingerprint_text(sig: Column) -> Column:
     """A signature as 16 lowercase hexadecimal digits."""
     return F.lower(F.lpad(F.hex(sig), 16, "0"))
+
+
+def first_of_groups(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group: the one with the smallest doc_id. Columns stay as they are.
+
+    Where the smallest doc_id of a group stands on several texts, the one with the
+    smallest hash stays; of rows equal in doc_id and text one stays. A group whose
+    doc_ids are all null keeps the null row with the smallest hash.
+    """
+    read = docs.withColumn("__key", text_key(F.col("text")))
+    found = near_duplicate_components(docs)
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
+    rows = found.groupBy("component", "doc_id", "key").agg(F.count("*").alias("n"))
+    firsts = rows.groupBy("component").agg(F.min(F.struct(rank.alias("r"), "n")).alias("first")).select("first.r.*", "first.n")
+    firsts = materialise(firsts.select(F.col("doc_id").alias("__first"), F.col("key").alias("__first_key"), "n"))
+    same = (F.col("__key") == F.col("__first_key")) & F.col("doc_id").eqNullSafe(F.col("__first"))
+    kept = join_sized(read, firsts.drop("n"), same, "left_semi")
+    if not firsts.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "__key"])
+    return kept.select(*docs.columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +78,7 @@ def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_fuzzy_line_dedup": op1_fuzzy_line_dedup,
         "op2_host_reputation": op2_host_reputation,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
@@ -91,7 +93,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return sql | {
         "op2_host_reputation": url_filters.oracle(URL_RULES),
         "op4_benchmark_decontamination": decontamination.oracle(),
         "op9_line_frequency_rules": quality_rules.oracle(),
