@@ -57,21 +57,29 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def spread(nodes: DataFrame) -> DataFrame:
+    """nodes dealt evenly to as many tasks as a shuffle has, before each becomes many rows."""
+    return nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+
+
 def bucket_components(
     members: DataFrame,
-    candidate: Callable[[Column, Column, Column], Column],
+    candidate: Callable[[Column, Column], Column],
     confirm: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Components of the nodes of members (key, id, sig): (node, component) for nodes with links.
 
-    candidate(sig, other sig, key) says whether a pair may be linked; it should hold for
-    one key only of the keys that a pair shares. confirm takes distinct pairs (a, b) of
-    ids and returns those that are linked; without it, candidates are links.
+    candidate(sig, other sig) says whether a pair may be linked. confirm takes distinct
+    pairs (a, b) of ids and returns those that are linked; without it, candidates are
+    links. Buckets of two, most of which two strangers share by chance, are settled
+    inside the first join and leave no row unless they are linked.
     """
     confirm = confirm or (lambda pairs: pairs)
-    drawn = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id", "sig")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    shared = materialise(members.join(drawn, "key").select("key", "id", "sig", F.col("head.id").alias("head"), F.col("head.sig").alias("head_sig"), "n"))
-    first = shared.where((F.col("id") != F.col("head")) & candidate(F.col("sig"), F.col("head_sig"), F.lit(None)))
+    apart = F.col("id") != F.col("head.id")
+    drawn = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id", "sig")).alias("head"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "bucket")
+    tested = (F.col("key") == F.col("bucket")) & ((F.col("n") > 2) | (apart & candidate(F.col("sig"), F.col("head.sig"))))
+    shared = materialise(members.join(drawn, tested).select("key", "id", "sig", F.col("head.id").alias("head"), F.col("head.sig").alias("head_sig"), "n"))
+    first = shared.where((F.col("id") != F.col("head")) & candidate(F.col("sig"), F.col("head_sig")))
     first = materialise(confirm(first.select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()))
     groups = materialise(components(first))
     # pass 2: buckets of two are settled, and so are pairs with the drawn member
@@ -87,7 +95,7 @@ def bucket_components(
     mates = wide.where("id <> head").select("key", F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("component").alias("component_b"))
     # of two odd members one order is enough
     new = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("head_component")) | (F.col("a") < F.col("b")))
-    more = odd.join(mates, (odd["key"] == mates["key"]) & new & candidate(F.col("sig_a"), F.col("sig_b"), odd["key"])).select("a", "b").distinct()
+    more = odd.join(mates, (odd["key"] == mates["key"]) & new & candidate(F.col("sig_a"), F.col("sig_b"))).select("a", "b").distinct()
     more = materialise(confirm(more))
     if more.isEmpty():
         return groups

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glintloom.llm.common import join_sized, materialise, text_key
-from glintloom.llm.linking import bucket_components
+from glintloom.llm.linking import bucket_components, spread
 
 MAX_BITS = 4
 #: First bit and width of each segment.
@@ -76,7 +76,7 @@ def variants(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode(F.array(*keys)).alias("key"), "id", "sig")
 
 
-def _within(a: Column, b: Column, key: Column) -> Column:
+def _within(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS
 
 
@@ -90,7 +90,7 @@ def near_duplicate_components(docs: DataFrame, shingle: int = 4, seed: int = 42)
     """
     prints = materialise(fingerprints(docs, shingle, seed))
     nodes = prints.groupBy("sig").agg(F.min("doc_id").alias("least")).withColumn("id", F.col("sig"))
-    found = bucket_components(variants(nodes), _within)
+    found = bucket_components(variants(spread(nodes)), _within)
     return attach_components(prints, nodes, found)
 
 
