@@ -104,9 +104,11 @@ class Reputation:
             own = self.levels[level].select(F.col(level).alias(f"__{level}"), F.col("rate").alias(f"__{level}_rate"), *([F.col("n").alias("__n"), F.col("bad").alias("__bad")] if level == "host" else []))
             out = join_sized(out, own, [f"__{level}"], "left", salts=16)
         prior = F.coalesce("__domain_rate", "__suffix_rate", F.lit(self.mean))
-        s = self.strengths["host"]
+        # a prior from farther up is as loose as the loosest level between
+        host, domain, suffix = (self.strengths[level] for level in ("host", "domain", "suffix"))
+        s = F.when(F.col("__domain_rate").isNotNull(), F.lit(host)).when(F.col("__suffix_rate").isNotNull(), F.lit(min(host, domain))).otherwise(F.lit(min(host, domain, suffix)))
         a = F.coalesce("__bad", F.lit(0)) + prior * s
-        total = F.coalesce("__n", F.lit(0)) + F.lit(s)
+        total = F.coalesce("__n", F.lit(0)) + s
         mean = a / total
         bound = mean - F.lit(Z) * F.sqrt(mean * (1 - mean) / (total + 1))
         return out.select(*rows.columns, F.greatest(bound, F.lit(0.0)).alias("bad_bound"))
@@ -176,7 +178,9 @@ def oracle(rules: list[tuple[str, str]]) -> str:
     seen AS (SELECT suffix, domain, host, bad::DOUBLE AS bad FROM page JOIN outcome ON doc_id = page_id WHERE url IS NOT NULL),
     whole AS (SELECT (coalesce(sum(bad), 0) + 1) / (count(*) + 2)::DOUBLE AS mean FROM seen),
     {level(0, "suffix", None).strip()}{level(1, "domain", "suffix")}{level(2, "host", "domain")}
-    post AS (SELECT p.*, (coalesce(r.bad, 0) + coalesce(d.rate, s.rate, mean) * st) / (coalesce(r.n, 0) + st) AS m, coalesce(r.n, 0) + st AS total
-      FROM page p LEFT JOIN host_r r ON r.host = p.host LEFT JOIN domain_r d ON d.domain = p.domain LEFT JOIN suffix_r s ON s.suffix = p.suffix, whole, host_s),
+    st AS (SELECT h.st AS sh, least(h.st, d.st) AS sd, least(h.st, d.st, s.st) AS ss FROM host_s h, domain_s d, suffix_s s),
+    prior AS (SELECT p.*, r.n, r.bad, coalesce(d.rate, s.rate, mean) AS rate, CASE WHEN d.rate IS NOT NULL THEN sh WHEN s.rate IS NOT NULL THEN sd ELSE ss END AS st
+      FROM page p LEFT JOIN host_r r ON r.host = p.host LEFT JOIN domain_r d ON d.domain = p.domain LEFT JOIN suffix_r s ON s.suffix = p.suffix, whole, st),
+    post AS (SELECT *, (coalesce(bad, 0) + rate * st) / (coalesce(n, 0) + st) AS m, coalesce(n, 0) + st AS total FROM prior),
     bound AS (SELECT page_id, raw_host AS host, path, greatest(m - {Z} * sqrt(m * (1 - m) / (total + 1)), 0) AS bad_bound FROM post)
     SELECT page_id, host, path, CASE {texts} END AS rule, round(bad_bound, 6) AS bad_bound, coalesce(CASE {verdicts} END, CASE WHEN bad_bound > {MAX_BAD} THEN 'block' ELSE 'allow' END) AS verdict FROM bound"""
