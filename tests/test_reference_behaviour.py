@@ -393,3 +393,12 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.start, r.n) for r in spark.table("counted").collect()) == [(0, 24), (4, 24), (8, 24)]
+
+
+def test_whole_path(spark):
+    from glintloom.plans.flagship import analyse
+
+    locs, found, tracks = analyse(make_movie(spark, [(12.3, 15.6, 400.0), (30.0, 33.4, 300.0)], frames=3), 3, 48, 48, sigma=1.2)
+    assert found.count() == 3
+    rows = tracks.collect()
+    assert len(rows) == 2 and {r.track_length for r in rows} == {3}
