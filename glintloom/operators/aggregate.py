@@ -188,3 +188,28 @@ def nearest_code(rows: DataFrame, codes: list[list[float]], features: list[str])
 def running_index(rows: DataFrame, order: list[str], keys: list[str]) -> DataFrame:
     """rows with index from 0 within keys."""
     return rows.withColumn("index", (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
+
+
+def binned_sum(pixels: DataFrame, binning: int, value: str, keys: list[str] = ()) -> DataFrame:  # type: ignore[assignment]
+    """(keys, y, x, value) of a sparse image with binning x binning pixels in one."""
+    return pixels.groupBy(*keys, F.floor(F.col("y") / binning).cast("int").alias("y"), F.floor(F.col("x") / binning).cast("int").alias("x")).agg(F.sum(value).alias(value))
+
+
+def from_linear_index(triples: DataFrame, width: int) -> DataFrame:
+    """Sparse triples (fr, i, z) as (frame, y, x, z): x = i modulo width."""
+    return triples.select(F.col("fr").alias("frame"), F.floor(F.col("i") / width).cast("int").alias("y"), (F.col("i") % width).cast("int").alias("x"), "z")
+
+
+def bead_averages(pixels: DataFrame, beads: DataFrame, half: int) -> DataFrame:
+    """(z_bin, dy, dx, mean, n): average window around beads (frame, bead_x, bead_y, z_bin), the measured point-spread function."""
+    steps = F.sequence(F.lit(-half), F.lit(half))
+    wanted = beads.select("frame", "z_bin", "bead_x", "bead_y", F.explode(steps).alias("dy")).withColumn("dx", F.explode(steps))
+    wanted = wanted.select("frame", "z_bin", "dy", "dx", (F.col("bead_y") + F.col("dy")).alias("y"), (F.col("bead_x") + F.col("dx")).alias("x"))
+    return wanted.join(pixels, ["frame", "y", "x"]).groupBy("z_bin", "dy", "dx").agg(F.avg("adu").alias("mean"), F.count("*").alias("n"))
+
+
+def cluster_colours(members: DataFrame, cluster: str, scale: float) -> DataFrame:
+    """(ix, iy, r, g, b): sums of a colour that each cluster id draws by hash, coordinates cut to whole pixels."""
+    shade = lambda k: (F.pmod(F.xxhash64(F.lit(k), F.col(cluster)), F.lit(256)) / 255.0)
+    cells = members.select((F.col("x") * scale).cast("int").alias("ix"), (F.col("y") * scale).cast("int").alias("iy"), shade(0).alias("r"), shade(1).alias("g"), shade(2).alias("b"))
+    return cells.groupBy("ix", "iy").agg(*[F.sum(c).alias(c) for c in "rgb"])

@@ -574,3 +574,85 @@ def _(spark, sf):
     first = rows.groupBy("dataset_id").agg(F.min("frame").alias("reference"))
     shifted = rows.join(first, "dataset_id").withColumn("frame", F.col("frame") - F.col("reference")).drop("reference")
     return track.fiducials(shifted, radius=50.0, max_gap=200)
+
+
+# sparse images, measured spots, noise, z bins
+
+
+@query("binned_image", f"WITH {PIXELS_SQL} SELECT frame, CAST(floor(y / 4) AS INTEGER) AS y, CAST(floor(x / 4) AS INTEGER) AS x, sum(adu) AS adu FROM pixels GROUP BY ALL")
+def _(spark, sf):
+    return aggregate.binned_sum(pixels(spark, sf), 4, "adu", ["frame"])
+
+
+@query("sparse_triples", "SELECT CAST(o_orderkey % 10 AS INTEGER) AS frame, CAST(floor(o_custkey / 64) AS INTEGER) AS y, CAST(o_custkey % 64 AS INTEGER) AS x, o_totalprice AS z FROM orders")
+def _(spark, sf):
+    rows = table(spark, sf, "orders").select((F.col("o_orderkey") % 10).cast("int").alias("fr"), F.col("o_custkey").alias("i"), F.col("o_totalprice").alias("z"))
+    return aggregate.from_linear_index(rows, 64)
+
+
+@query("bead_average", f"WITH {PIXELS_SQL}, im AS (SELECT frame, y, x, avg(adu) AS adu FROM pixels GROUP BY ALL), b AS (SELECT CAST(f AS INTEGER) AS frame, CAST(f % 2 AS INTEGER) AS z_bin, CAST(3 + f AS INTEGER) AS bead_x, 7 AS bead_y FROM range(1, 8) t(f)) SELECT z_bin, y - bead_y AS dy, x - bead_x AS dx, round(avg(adu), 6) AS mean, count(*) AS n FROM b JOIN im ON im.frame = b.frame AND abs(y - bead_y) <= 2 AND abs(x - bead_x) <= 2 GROUP BY ALL")
+def _(spark, sf):
+    image = pixels(spark, sf).groupBy("frame", "y", "x").agg(F.avg("adu").alias("adu"))
+    beads = spark.range(1, 8).select(F.col("id").cast("int").alias("frame"), (F.col("id") % 2).cast("int").alias("z_bin"), (F.col("id") + 3).cast("int").alias("bead_x"), F.lit(7).alias("bead_y"))
+    return aggregate.bead_averages(image, beads, 2).select("z_bin", "dy", "dx", r("mean"), "n")
+
+
+@query("z_bins", f"WITH {PTS_SQL} SELECT vec_id, CASE WHEN z > -0.2 AND z < 0.2 THEN CAST(floor((z + 0.2) / (0.4 / 8)) AS INTEGER) ELSE -1 END AS bin FROM pts")
+def _(spark, sf):
+    return pts(spark, sf).select("vec_id", C.z_bin(F.col("z"), -0.2, 0.2, 8).alias("bin"))
+
+
+@query("area_mask", f"WITH {LOCS_SQL} SELECT frame, loc_id FROM locs WHERE pow(x - 100, 2) + pow(y - 75, 2) <= 2500")
+def _(spark, sf):
+    return filters.area_mask(locs(spark, sf), (100.0, 75.0), 50.0).select("frame", "loc_id")
+
+
+@query("low_significance", f"WITH {PTS_SQL} SELECT vec_id, CASE WHEN z <= -0.2 THEN 'ERROR' WHEN EXISTS (SELECT 1 FROM pts b WHERE b.vec_id <> a.vec_id AND b.z <= -0.2 AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 0.09) THEN 'RUNNING' ELSE 'CONVERGED' END AS status FROM pts a")
+def _(spark, sf):
+    peaks = pts(spark, sf).withColumn("status", F.lit("CONVERGED")).withColumnRenamed("z", "significance")
+    return spatial.low_significance(peaks, -0.2, 0.3, "vec_id").select("vec_id", "status")
+
+
+@query("significance", "SELECT l_orderkey, l_linenumber, round(l_extendedprice / sqrt(l_quantity), 6) AS s FROM lineitem")
+def _(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(C.significance(F.col("l_extendedprice"), F.col("l_quantity")), 6).alias("s"))
+
+
+@query("frame_hash", "SELECT CAST(p_partkey % 50 AS INTEGER) AS movie_id, md5(p_name) AS hash FROM part WHERE p_size = 1")
+def _(spark, sf):
+    frames = table(spark, sf, "part").select((F.col("p_partkey") % 50).cast("int").alias("movie_id"), (F.col("p_size") - 1).alias("frame"), F.col("p_name").cast("binary").alias("pixels"))
+    return scan.movie_hash(frames)
+
+
+@query("average_fiducials", f"""WITH {LOCS_SQL}, s AS (SELECT CAST(y AS INTEGER) AS id, frame, max(x) AS v FROM locs WHERE y < 20 GROUP BY ALL), e AS (SELECT id FROM s GROUP BY id HAVING count(*) >= 60),
+ k AS (SELECT id, frame, v, lead(frame) OVER w AS f2, lead(v) OVER w AS v2, row_number() OVER w AS i, count(*) OVER (PARTITION BY id) AS n FROM s WHERE id IN (SELECT id FROM e) WINDOW w AS (PARTITION BY id ORDER BY frame))
+ SELECT CAST(f AS INTEGER) AS frame, round(avg(v + (f - frame) * (v2 - v) / (f2 - frame)), 4) AS x FROM range(720) r(f) JOIN k ON f2 IS NOT NULL AND (f >= frame OR i = 1) AND (f < f2 OR i = n - 1) GROUP BY f""")
+def _(spark, sf):
+    rows = locs(spark, sf).where("y < 20").groupBy(F.col("y").cast("int").alias("fiducial_id"), "frame").agg(F.max("x").alias("x"))
+    return track.average_fiducials(rows, 720, ["x"], 60 / 720).select("frame", r("x", 4))
+
+
+@query("order_rollup", "SELECT c_mktsegment, n_name, round(sum(o_totalprice), 2) AS revenue, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (c_mktsegment, n_name)")
+def _(spark, sf):
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.rollup("c_mktsegment", "n_name").agg(F.round(F.sum("o_totalprice"), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query("drift_estimate")
+def _(spark, sf):
+    from glintloom.operators import drift as estimation
+
+    return estimation.estimate_drift(locs(spark, sf).select("frame", (F.col("x") / 8).alias("x"), (F.col("y") / 3).alias("y")), 100, 720, 64, 64, 1)
+
+
+@query("fourier_ring")
+def _(spark, sf):
+    from glintloom.operators import drift as estimation
+
+    rows = setops.odd_even(locs(spark, sf).withColumnRenamed("event_id", "track_id")).withColumns({"x": F.col("x") / 8, "y": F.col("y") / 3})
+    return estimation.fourier_ring(rows, "half", 64, 64, 1, 160.0, ["category"])
+
+
+@query("quad_hashes")
+def _(spark, sf):
+    return spatial.quads(pts(spark, sf).where("category = 1"), "vec_id", 0.1, 4.0, 5)

@@ -402,3 +402,14 @@ def test_whole_path(spark):
     assert found.count() == 3
     rows = tracks.collect()
     assert len(rows) == 2 and {r.track_length for r in rows} == {3}
+
+
+def test_axial_calibration(spark):
+    from glintloom.operators import calibrate
+
+    z = F.col("id") / 400.0 - 0.5
+    rows = spark.range(400).select(z.alias("stage_z"), (C.defocus_width(z, 3.0, -0.15, 0.4) / 2).alias("xsigma"), (C.defocus_width(z, 2.8, 0.15, 0.4) / 2).alias("ysigma"))
+    wx, wy = calibrate.calibrate(rows, terms=0, outliers=5.0)
+    assert np.allclose(wx, [3.0, -0.15, 0.4], atol=0.01) and np.allclose([abs(v) for v in wy], [2.8, 0.15, 0.4], atol=0.01)
+    tilted = spark.createDataFrame([(float(x), float(y), 0.1 * x, 0.1 * x + 0.5 + 0.01 * x - 0.02 * y) for x in range(6) for y in range(6)], "x double, y double, z double, stage_z double")
+    assert np.allclose(calibrate.fit_tilt(tilted), [0.5, 0.01, -0.02], atol=1e-9)
