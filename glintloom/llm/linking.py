@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glintloom.llm.common import join_sized, materialise
@@ -62,32 +62,34 @@ def spread(nodes: DataFrame) -> DataFrame:
     return nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
 
 
-def bucket_components(
-    members: DataFrame,
-    candidate: Callable[[Column, Column], Column],
-    confirm: Callable[[DataFrame], DataFrame] | None = None,
-) -> DataFrame:
+def bucket_components(members: DataFrame, max_bits: int, confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components of the nodes of members (key, id, sig): (node, component) for nodes with links.
 
-    candidate(sig, other sig) says whether a pair may be linked. confirm takes distinct
-    pairs (a, b) of ids and returns those that are linked; without it, candidates are
-    links. Buckets of two, most of which two strangers share by chance, are settled
-    inside the first join and leave no row unless they are linked.
+    Two nodes of a bucket may be linked if their signatures differ in at most max_bits
+    bits. confirm takes distinct pairs (a, b) of ids and returns those that are linked;
+    without it, all of these are. Buckets of two, most of which two strangers share by
+    chance, are settled while buckets are counted and leave no row unless they may be
+    linked. Members are moved by key once; counting and joining read the same shuffle.
+    A node has many keys, so the key of a large group holds a small part of all members.
     """
     confirm = confirm or (lambda pairs: pairs)
-    apart = F.col("id") != F.col("head.id")
-    drawn = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id", "sig")).alias("head"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "bucket")
-    tested = (F.col("key") == F.col("bucket")) & ((F.col("n") > 2) | (apart & candidate(F.col("sig"), F.col("head.sig"))))
-    shared = materialise(members.join(drawn, tested).select("key", "id", "sig", F.col("head.id").alias("head"), F.col("head.sig").alias("head_sig"), "n"))
-    first = shared.where((F.col("id") != F.col("head")) & candidate(F.col("sig"), F.col("head_sig")))
-    first = materialise(confirm(first.select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()))
+    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= max_bits
+    dealt = members.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    mix = F.xxhash64("key")
+    drawn = dealt.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mix)).alias("least"), F.bit_xor("sig").alias("differ"), F.count("*").alias("n"))
+    drawn = drawn.where((F.col("n") > 2) | ((F.col("n") == 2) & (F.bit_count("differ") <= max_bits))).drop("differ")
+    shared = materialise(dealt.join(drawn.hint("shuffle_hash"), "key").select("key", "id", "sig", F.col("least").bitwiseXOR(mix).alias("head"), "n"))
+    wide = shared.where("n > 2").select("key", "id", "sig", "head")
+    heads = wide.where("id = head").select("key", F.col("sig").alias("head_sig"))
+    tested = wide.where("id <> head").join(heads, "key").where(near(F.col("sig"), F.col("head_sig")))
+    pairs = shared.where("n = 2 AND id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).unionByName(tested.select(F.col("id").alias("a"), F.col("head").alias("b")))
+    first = materialise(confirm(pairs.distinct()))
     groups = materialise(components(first))
     # pass 2: buckets of two are settled, and so are pairs with the drawn member
     n_groups = groups.count()
-    wide = shared.where("n > 2").select("key", "id", "sig", "head")
     wide = join_sized(wide, groups.withColumnRenamed("node", "id"), ["id"], "left", n_groups)
-    heads = groups.select(F.col("node").alias("head"), F.col("component").alias("head_component"))
-    wide = join_sized(wide, heads, ["head"], "left", n_groups).select(
+    roots = groups.select(F.col("node").alias("head"), F.col("component").alias("head_component"))
+    wide = join_sized(wide, roots, ["head"], "left", n_groups).select(
         "key", "id", "sig", "head", F.coalesce("component", "id").alias("component"), F.coalesce("head_component", "head").alias("head_component")
     )
     wide = materialise(wide)
@@ -95,7 +97,7 @@ def bucket_components(
     mates = wide.where("id <> head").select("key", F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("component").alias("component_b"))
     # of two odd members one order is enough
     new = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("head_component")) | (F.col("a") < F.col("b")))
-    more = odd.join(mates, (odd["key"] == mates["key"]) & new & candidate(F.col("sig_a"), F.col("sig_b"))).select("a", "b").distinct()
+    more = odd.join(mates, (odd["key"] == mates["key"]) & new & near(F.col("sig_a"), F.col("sig_b"))).select("a", "b").distinct()
     more = materialise(confirm(more))
     if more.isEmpty():
         return groups

@@ -76,10 +76,6 @@ def variants(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode(F.array(*keys)).alias("key"), "id", "sig")
 
 
-def _within(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS
-
-
 def near_duplicate_components(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, key, sig, component and component_id: the smallest doc_id reachable over fingerprints that differ in at most four bits.
 
@@ -90,7 +86,7 @@ def near_duplicate_components(docs: DataFrame, shingle: int = 4, seed: int = 42)
     """
     prints = materialise(fingerprints(docs, shingle, seed))
     nodes = prints.groupBy("sig").agg(F.min("doc_id").alias("least")).withColumn("id", F.col("sig"))
-    found = bucket_components(variants(spread(nodes)), _within)
+    found = bucket_components(variants(spread(nodes)), MAX_BITS)
     return attach_components(prints, nodes, found)
 
 

@@ -84,7 +84,7 @@ def test_near_duplicates_match_brute_force(spark):
             prints.append(x)
     signed = sorted({p - (1 << 64) if p >> 63 else p for p in prints})
     nodes = spark.createDataFrame([(s, s) for s in signed], "id long, sig long")
-    got = {r.node: r.component for r in linking.bucket_components(near_duplicates.variants(nodes), near_duplicates._within).collect()}
+    got = {r.node: r.component for r in linking.bucket_components(near_duplicates.variants(nodes), near_duplicates.MAX_BITS).collect()}
     want = brute_components(signed, lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1") <= 4)
     assert {n: got.get(n, n) for n in signed} == want
 
