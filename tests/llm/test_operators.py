@@ -113,6 +113,42 @@ def levenshtein(a, b):
     return row[-1]
 
 
+def test_line_similarity_matches_brute_force():
+    rng = random.Random(4)
+    for _ in range(1500):
+        a = "".join(rng.choice("ab c") for _ in range(rng.randint(0, 30)))
+        b = list(a)
+        for _ in range(rng.randint(0, 8)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 2)] = rng.choice(["", "x", "é "])
+        b = "".join(b)
+        distance, most = levenshtein(a, b), int(max(len(a), len(b)) * 0.2 + 1e-9)
+        assert line_dedup.edit_distance(a, b) == distance
+        assert line_dedup._word_bound(a.split(" "), b.split(" "), 1000) >= distance
+        assert line_dedup.similar(a, b) == (distance <= most)
+
+
+def brute_word_hash(word):
+    def mix(x):
+        x = x + 0x9E3779B97F4A7C15 & (1 << 64) - 1
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
+        return x ^ x >> 31
+
+    if len(word) > 1024:
+        word = xxhash.xxh64_hexdigest(word.encode())
+    h = sum((c + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, c in enumerate(word.encode(), 1))
+    return mix(mix(h & (1 << 64) - 1) >> 24)
+
+
+def test_line_simhash_matches_brute_force():
+    rng = random.Random(5)
+    lines = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(n)) for n in (1, 2, 255, 256, 700, 1500, 9000)] + ["é ü \x07x", "x " + "q" * 3000, "x"]
+    for line, got in zip(lines, line_dedup.line_simhashes(lines).tolist(), strict=True):
+        hashes = [brute_word_hash(w) for w in set(line.split(" "))]
+        assert got & (1 << 64) - 1 == sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
 def brute_lines(docs):
     lines = {}
     for i, t in docs:
