@@ -24,6 +24,8 @@ from glintloom.llm.common import join_sized, materialise, text_key
 from glintloom.llm.linking import bucket_components, spread
 
 MAX_BITS = 4
+#: A signature is hot if more than one in so many rows have it.
+HOT_SHARE = 1000
 #: First bit and width of each segment.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 _BLOCK = 1 << 16
@@ -85,17 +87,27 @@ def near_duplicate_components(docs: DataFrame, shingle: int = 4, seed: int = 42)
     no other. Other columns of docs are not looked at. An empty table gives an empty one.
     """
     prints = materialise(fingerprints(docs, shingle, seed))
-    nodes = prints.groupBy("sig").agg(F.min("doc_id").alias("least")).withColumn("id", F.col("sig"))
-    found = bucket_components(variants(spread(nodes)), MAX_BITS)
+    nodes = prints.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).withColumn("id", F.col("sig"))
+    found = bucket_components(variants(spread(nodes.select("id", "sig"))), MAX_BITS)
     return attach_components(prints, nodes, found)
 
 
 def attach_components(prints: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """prints with component_id, the smallest doc_id of all nodes in the component of its signature."""
+    """prints with component_id, the smallest doc_id of all nodes in the component of its signature.
+
+    Signatures that more than one in HOT_SHARE rows have, of which there are fewer than
+    HOT_SHARE, are looked up in a broadcast table; the others are joined after a shuffle.
+    """
     least = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     smallest = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_sig = least.join(smallest, "component").select("sig", "component", "component_id")
-    return prints.join(by_sig, "sig").select("doc_id", "key", "sig", "component", "component_id")
+    by_sig = materialise(least.join(smallest, "component").select("sig", "component", "component_id", "n"))
+    most = prints.count() // HOT_SHARE
+    hot, rest = (by_sig.where(c).drop("n") for c in (F.col("n") > most, F.col("n") <= most))
+    if hot.isEmpty():
+        joined = prints.join(rest, "sig")
+    else:
+        joined = prints.join(F.broadcast(hot), "sig").unionByName(prints.join(F.broadcast(hot.select("sig")), "sig", "left_anti").join(rest, "sig"))
+    return joined.select("doc_id", "key", "sig", "component", "component_id")
 
 
 def fingerprint_text(sig: Column) -> Column:
