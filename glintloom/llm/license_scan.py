@@ -87,8 +87,10 @@ def paragraph_words(line: Column) -> Column:
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, number, words) of each line with a word; numbers count all lines from 0."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "line"))
-    return lines.select("doc_id", "number", paragraph_words(F.col("line")).alias("words")).where(F.size("words") > 0)
+    # words are made inside the explode: a filter behind it would make Spark split each line twice
+    split = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("number"), paragraph_words(line).alias("words")))
+    rows = docs.select("doc_id", F.explode(F.filter(split, lambda x: F.size(x["words"]) > 0)).alias("p"))
+    return rows.select("doc_id", "p.number", "p.words")
 
 
 def made_paragraphs(spark: SparkSession, n: int = 6000) -> DataFrame:
