@@ -38,7 +38,8 @@ DICTIONARY = (
 FOR_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "auth", "bearer", "credential", "private_key", "access_key")
 AGAINST_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "hash", "revision", "uuid", "etag", "fingerprint", "integrity", "version", "build")
 AGAINST_PATHS = ("test", "example", "sample", "demo", "doc", "mock", "fixture")
-_CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}+={{0,2}}"
+#: '=' may stand before a candidate; behind it, it is padding only if no value follows, bare or quoted, so that a long name leaves it to its value.
+_CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}+(?:={{1,2}}(?![\"']?[A-Za-z0-9+/_=-]))?"
 FEATURES = (
     "length", "digits", "uppers", "lowers", "signs", "class_changes", "vowel_changes", "distinct", "repeats", "hex_only", "dictionary", "longest_word",
     "path_against", "before_for", "before_against", "assigned", "quoted",
@@ -54,7 +55,9 @@ def candidates(docs: DataFrame, path: str = "source", text: str = "text") -> Dat
     column = F.col(text)
 
     def placed(values: Column) -> Column:
-        between = let(F.split(column, _CANDIDATE), lambda parts: F.transform(values, lambda v, i: F.struct(F.right(F.get(parts, i), F.lit(48)).alias("before"), v.alias("value"))))
+        # a long name is a match of its own: without it, its value would stand behind nothing
+        last = lambda i: F.coalesce(F.get(values, i - 1), F.lit(""))
+        between = let(F.split(column, _CANDIDATE, -1), lambda parts: F.transform(values, lambda v, i: F.struct(F.right(F.concat(last(i), F.get(parts, i)), F.lit(48)).alias("before"), v.alias("value"))))
         return F.when(F.size(values) > 0, between).otherwise(F.array().cast("array<struct<before:string,value:string>>"))
 
     found = let(F.regexp_extract_all(column, F.lit(_CANDIDATE), F.lit(0)), placed)

@@ -395,6 +395,19 @@ def test_secret_forest_on_held_out_findings(spark):
     assert secret_scan.scan(docs.limit(0), model).count() == 0
 
 
+def test_secrets_directly_behind_an_equals_sign(spark):
+    model = secret_scan.train(secret_scan.made_findings(spark))
+    value, upper, hexa = "Xk39fjQ02mmZ81bbQw77", "XK39FJQ02MMZ81BBQW77", "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    cases = {
+        f"password={value}": value, f'export TOKEN="{upper}"': upper, f"http://h.net/a?page=2&api_key={hexa}&x=1": hexa, f"token={value}==": value + "==",
+        f"AWS_SECRET_ACCESS_KEY={value}": value, f"AWS_SECRET_ACCESS_KEY='{value}'": value, f'secret="{value}=", b': value + "=",
+    }
+    docs = frame(spark, list(cases))
+    assert {r.doc_id: r.value for r in secret_scan.scan(docs, model).where("is_secret").collect()} == dict(enumerate(cases.values()))
+    assert [r.text for r in secret_scan.redact(docs, model).orderBy("doc_id").collect()] == [t.replace(v, "<SECRET>") for t, v in cases.items()]
+    assert [r.value for r in secret_scan.candidates(frame(spark, [f"sha256={hexa}"])).collect()] == [hexa]
+
+
 def test_license_classifier_on_held_out_paragraphs(spark):
     model = license_scan.train(license_scan.made_paragraphs(spark, 3000))
     docs = frame(spark, [None, "", "Released under the MIT License.\nSome other words follow here", "THIS work is licensed under the GNU General Public License, version 3.", "A driver's license is required to rent a car", "Th ndinly thbleing ering and thines by threreatsh"])
