@@ -8,11 +8,16 @@ fingerprints share a key and meet in an equality join, where they are verified.
 Rows: 64 keys of 20 or 21 bits for each distinct fingerprint. Equal fingerprints are
 one node, whatever the number of documents. In buckets only some members are compared,
 see linking; the components are those of all links.
+
+The pipeline asks for another relation, Jaccard similarity of five-word shingles, at
+which SimHashes differ in too many bits for such keys. similar_components finds its
+candidates by MinHash bands and compares the shingles themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glintloom.llm.common import join_sized, materialise, text_key
-from glintloom.llm.linking import bucket_components, spread
+from glintloom.llm.linking import bucket_components, components, spread
 
 MAX_BITS = 4
 #: A signature is hot if more than one in so many rows have it.
@@ -29,6 +34,11 @@ HOT_SHARE = 1000
 #: First bit and width of each segment.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 _BLOCK = 1 << 16
+MIN_JACCARD = 0.8
+#: MinHash bands and values in each: of pairs with Jaccard 0.8 all but 1 in 1,400 share a band, 1 - (1 - 0.8 ** 6) ** 24.
+BANDS, BAND_SIZE = 24, 6
+_FACTORS, _SUMMANDS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * BAND_SIZE), dtype=np.uint64)
+_FACTORS = _FACTORS | np.uint64(1)
 
 
 def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -115,15 +125,103 @@ def fingerprint_text(sig: Column) -> Column:
     return F.lower(F.lpad(F.hex(sig), 16, "0"))
 
 
-def first_of_groups(docs: DataFrame) -> DataFrame:
+def shingles(text: str | None, shingle: int = 5) -> set[bytes]:
+    """The distinct word shingles of a text, words as for simhash. A text of fewer words is one shingle; one without words has none."""
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
+def band_keys(found: set[bytes]) -> list[int]:
+    """For each band the hash of its number and its MinHash values, as signed longs."""
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, found), dtype=np.uint64, count=len(found))
+    least = np.full(BANDS * BAND_SIZE, (1 << 64) - 1, dtype=np.uint64)
+    for k in range(0, len(hashes), 1024):
+        least = np.minimum(least, (hashes[k : k + 1024, None] * _FACTORS + _SUMMANDS).min(axis=0))
+    rows = least.reshape(BANDS, BAND_SIZE)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], dtype=np.uint64).view(np.int64).tolist()
+
+
+def alike(a: set[bytes], b: set[bytes], least: float = MIN_JACCARD) -> bool:
+    """Whether two sets have at least this Jaccard similarity."""
+    common = len(a & b)
+    return common >= ceil(least * (len(a) + len(b) - common) - 1e-9)
+
+
+def banded(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(doc_id, key, sig, bands): hash of the text, hash of its words, and band keys of each document; none for texts of fewer words, which only equal ones resemble."""
+    read = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                sigs, bands = [], []
+                for t in batch.column(2).to_pylist():
+                    words = (t or "").encode().lower().split()
+                    sigs.append(xxhash.xxh64_intdigest(b" ".join(words)) if words else 0)
+                    bands.append(band_keys(shingles(t, shingle)) if len(words) >= shingle else [])
+                sigs = pa.array(np.array(sigs, dtype=np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sigs, pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "sig", "bands"])
+
+    return read.mapInArrow(run, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, key long, sig long, bands array<long>")
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts (id, text) are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 100):
+                batch = whole.slice(start, 100)
+                fits = [alike(shingles(x, shingle), shingles(y, shingle), least) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    both = pairs.select("a", "b").join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    return materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
+
+
+def similar_components(docs: DataFrame, shingle: int = 5, least: float = MIN_JACCARD) -> DataFrame:
+    """doc_id, key, sig, component and component_id, as near_duplicate_components, but linked by Jaccard similarity of word shingles.
+
+    Texts of equal words, as far as simhash tells words, are one node; sig is the hash of
+    the words. Candidates share a MinHash band; all are compared, shingle by shingle,
+    but for those that other comparisons have joined already.
+    """
+    prints = materialise(banded(docs, shingle))
+    nodes = prints.groupBy("sig").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "key", "bands")).alias("first"), F.count("*").alias("n"))
+    nodes = materialise(nodes.select("sig", F.col("sig").alias("id"), "least", "n", "first.*"))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs)
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        wanted = materialise(nodes.join(ids, "id", "left_semi").select("id", F.col("doc_id").alias("__id"), F.col("key").alias("__key")))
+        same = (text_key(docs["text"]) == F.col("__key")) & docs["doc_id"].eqNullSafe(F.col("__id"))
+        # where doc_id and text repeat, a text is found more than once
+        texts = materialise(join_sized(docs.select("doc_id", "text"), wanted, same, "inner").select("id", "text").dropDuplicates(["id"]))
+        # one pair of each node first: in a dense group these leave little to compare
+        mix = F.xxhash64("a", "b")
+        once = pairs.groupBy("a").agg(F.min(F.struct(mix.alias("h"), "b")).alias("x")).select("a", "x.b")
+        first = _compared(once, texts, shingle, least)
+        groups = components(first)
+        left = pairs.join(groups.toDF("a", "group_a"), "a", "left").join(groups.toDF("b", "group_b"), "b", "left")
+        left = left.where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).join(once, ["a", "b"], "left_anti")
+        return first.unionByName(_compared(left, texts, shingle, least))
+
+    members = spread(nodes.select("id", "bands")).select(F.explode("bands").alias("key"), "id", F.lit(0).cast("long").alias("sig"))
+    return attach_components(prints.drop("bands"), nodes.select("sig", "id", "least", "n"), bucket_components(members, 0, confirm))
+
+
+def first_of_groups(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """docs with one row of each group: the one with the smallest doc_id. Columns stay as they are.
 
+    found has the components of docs, those of near_duplicate_components by default.
+
     Where the smallest doc_id of a group stands on several texts, the one with the
     smallest hash stays; of rows equal in doc_id and text one stays. A group whose
     doc_ids are all null keeps the null row with the smallest hash.
     """
     read = docs.withColumn("__key", text_key(F.col("text")))
-    found = near_duplicate_components(docs)
+    found = near_duplicate_components(docs) if found is None else found
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
     rows = found.groupBy("component", "doc_id", "key").agg(F.count("*").alias("n"))
     firsts = rows.groupBy("component").agg(F.min(F.struct(rank.alias("r"), "n")).alias("first")).select("first.r.*", "first.n")

@@ -101,6 +101,33 @@ def test_near_duplicates_edges(spark, odd):
     assert near_duplicates.near_duplicate_components(odd.limit(0)).count() == 0
 
 
+def test_near_dedup_stage_matches_brute_force_on_jaccard(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    texts = [None, "", "one two", "One  two", "one three"]
+    for _ in range(25):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(8, 300))]
+        for _ in range(6):
+            words = list(base)
+            for _ in range(rng.randrange(0, 1 + len(base) // 25)):
+                words[rng.randrange(len(words))] = "x"
+            texts.append(" ".join(words))
+
+    def sets(t):
+        words = (t or "").lower().split()
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+    plain = [sets(t) for t in texts]
+    share = lambda a, b: len(plain[a] & plain[b]) / len(plain[a] | plain[b])
+    want = brute_components(list(range(len(texts))), lambda a, b: share(a, b) >= 0.8)
+    near = sum(0.8 <= share(a, b) < 0.9 for a in want for b in want if a < b)
+    docs = frame(spark, texts)
+    assert {r.doc_id: r.component_id for r in near_duplicates.similar_components(docs).collect()} == want and near > 30
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted(set(want.values()))
+    assert near_duplicates.similar_components(docs.limit(0)).count() == 0
+
+
 # fuzzy lines
 
 
