@@ -343,6 +343,18 @@ def test_boilerplate_lines_are_removed_and_depleted_documents_rejected(spark):
     assert all(menu.upper() not in out[i] for i in range(60)) and out[250] == copy
 
 
+def test_boilerplate_of_a_large_source_is_removed_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    # one source holds a third of all rows; its menu line stands in 30 of its 900 documents, another line in 20
+    texts = [" ".join(f"{hashlib.md5(f'{i} {k}'.encode()).hexdigest()[:6]}" for k in range(25)) for i in range(2700)]
+    texts[:30] = [f"{t}\nHome News  About us" for t in texts[:30]]
+    texts[30:50] = [f"{t}\nnot often enough" for t in texts[30:50]]
+    docs = frame(spark, texts[:900], source="hot").unionByName(frame(spark, texts[900:], 900).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 60)))
+    out = {r.doc_id: r.text for r in corpus_pipeline.quality(spark, docs, "").collect()}
+    assert len(out) == 2700 and all(out[i] == texts[i].split("\n")[0] for i in range(30)) and all(out[i] == texts[i] for i in range(30, 2700))
+
+
 def test_quality_edges(spark, odd):
     judged = quality_rules.judged(quality_rules.line_verdicts(odd))
     assert judged.count() == odd.count() and {r.doc_id for r in judged.where("kept").collect()} == set()
