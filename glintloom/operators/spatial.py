@@ -114,13 +114,13 @@ def local_maxima(pixels: DataFrame, radius: float, threshold: float, keys: list[
     return bright.join(best, [*keys, "y", "x", "z"], "left").where(F.col("__o").isNull() | (own > F.col("__o"))).drop("__o")
 
 
-def quads(points: DataFrame, point_id: str, min_size: float, max_size: float, neighbours: int = 10) -> DataFrame:
+def quads(points: DataFrame, point_id: str, min_size: float, max_size: float, neighbours: int = 10, keys: list[str] = ()) -> DataFrame:  # type: ignore[assignment]
     """Four-point hashes: A and B span a circle, C and D lie in it; their places in the frame of A and B are the hash (xc, yc, xd, yd).
 
-    B, C and D are among the nearest neighbours of A. Of the two orders of C and D, and
+    B, C and D are among the nearest neighbours of A that agree with it in keys. Of the two orders of C and D, and
     of A and B, the one with xc <= xd and xc + xd <= 1 is kept.
     """
-    near = k_nearest(points, neighbours, max_size, point_id, min_distance=min_size).select(F.col(f"l_{point_id}").alias("a"), F.col(f"r_{point_id}").alias("b"))
+    near = k_nearest(points, neighbours, max_size, point_id, keys, min_distance=min_size).select(F.col(f"l_{point_id}").alias("a"), F.col(f"r_{point_id}").alias("b"))
     place = lambda n: points.select(F.col(point_id).alias(n), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
     abcd = near.join(near.withColumnRenamed("b", "c"), "a").where("b <> c").join(near.withColumnRenamed("b", "d"), "a").where("d <> b AND d <> c")
     for n in "abcd":

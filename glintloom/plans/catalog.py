@@ -655,4 +655,4 @@ def _(spark, sf):
 
 @query("quad_hashes")
 def _(spark, sf):
-    return spatial.quads(pts(spark, sf).where("category = 1"), "vec_id", 0.1, 4.0, 5)
+    return spatial.quads(pts(spark, sf), "vec_id", 0.1, 4.0, 5, ["category"])

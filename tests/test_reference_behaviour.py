@@ -193,6 +193,28 @@ def test_quads_find_an_affine_copy(spark):
     assert np.allclose(q @ back.T + [fit["x"][0], fit["y"][0]], p, atol=1e-6)
 
 
+def test_quad_hashes_cover_all_categories(spark, tmp_path):
+    from itertools import permutations
+
+    from glintloom.plans import catalog
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(v)) for v in rng.uniform(0, 0.5, 3)], i % 3) for i in range(45)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    at, want = {i: 10 * np.array(e[:2]) for i, e, _ in rows}, set()
+    for a, _, label in rows:
+        far = sorted((float(((at[a] - at[i]) ** 2).sum()), i) for i, _, k in rows if k == label and i != a)
+        near = [i for d2, i in far if 0.01 < d2 <= 16.0][:5]
+        for b, c, d in permutations(near, 3):
+            (ux, uy), size = at[b] - at[a], float(((at[b] - at[a]) ** 2).sum())
+            if all(float(((at[n] - (at[a] + at[b]) / 2) ** 2).sum()) <= size / 4 for n in (c, d)):
+                xc, xd = (float((p[0] * ux + p[1] * uy) - (p[1] * ux - p[0] * uy)) / size for p in (at[c] - at[a], at[d] - at[a]))
+                if xc <= xd and xc + xd <= 1:
+                    want.add((a, b, c, d))
+    got = {(r.a, r.b, r.c, r.d) for r in catalog.QUERIES["quad_hashes"](spark, str(tmp_path)).collect()}
+    assert got == want and {a % 3 for a, *_ in want} == {0, 1, 2}
+
+
 def test_z_fit_and_cutoff(spark):
     wx, wy = [300.0, -150.0, 400.0, 0.0, 0.0, 0.0, 0.0], [300.0, 150.0, 400.0, 0.0, 0.0, 0.0, 0.0]
     grid = C.z_grid(wx, wy, -300.0, 300.0, 1.0)
