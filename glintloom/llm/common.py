@@ -9,18 +9,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of at most a few dozen bytes that may be broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 400_000
+#: Cells that may be broadcast: one for each row and one for each element of its arrays, of at most a few dozen bytes each. Larger sides are shuffled.
+BROADCAST_CELLS = 400_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _tables: dict[int, list[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (as in tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local session (as in tests) gets a temporary folder; a cluster has none to share, which is an error."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = getattr(sc, "_glintloom_root", None) or "file://" + tempfile.mkdtemp(prefix="glintloom-")
         sc._glintloom_root = root
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -45,13 +47,21 @@ def release(spark: SparkSession) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def join_sized(left: DataFrame, right: DataFrame, on: list[str] | Column, how: str, rows: int | None = None, salts: int = 1) -> DataFrame:
-    """left joined with a materialised right side: broadcast if it has at most BROADCAST_ROWS rows, else shuffled.
+def cells(df: DataFrame) -> int:
+    """Rows of df and elements of its array columns."""
+    arrays = [F.greatest(F.size(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() == "array"]
+    each = sum(arrays, F.lit(1)).cast("long")
+    return df.agg(F.sum(each)).first()[0] or 0
 
-    With salts > 1 (for column names in `on`) the rows of a shuffled key are dealt to so many tasks, and right is repeated as often.
+
+def join_sized(left: DataFrame, right: DataFrame, on: list[str] | Column, how: str, size: int | None = None, salts: int = 1) -> DataFrame:
+    """left joined with a materialised right side: broadcast if it has at most BROADCAST_CELLS cells, else shuffled.
+
+    size is the number of cells where it is known. With salts > 1 (for column names in
+    `on`) the rows of a shuffled key are dealt to so many tasks, and right is repeated as often.
     """
-    n = right.count() if rows is None else rows
-    if n <= BROADCAST_ROWS:
+    n = cells(right) if size is None else size
+    if n <= BROADCAST_CELLS:
         return left.join(F.broadcast(right), on, how)
     if salts == 1:
         return left.join(right, on, how)

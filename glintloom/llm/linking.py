@@ -13,19 +13,31 @@ bucket and pass a test. Components over all links are found in two passes:
 Every pair of a bucket is either inside one component after pass 1 or tested in pass 1
 or 2, so the components are exactly those of all links, while pairs inside a dense
 group are never listed.
+
+What grows: keys have a fixed number of bits, so the strangers of a bucket grow with the
+number of nodes, and each is tested once against the drawn member. Where they are many,
+finer keys (refine) cut the bucket before strangers are tested against each other: the
+pairs of pass 2 grow as nodes x nodes / 2 ** (bits of key and finer key).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glintloom.llm.common import join_sized, materialise
+from glintloom.llm.common import BROADCAST_CELLS, join_sized, materialise
 
 #: Rounds after which components() gives up; the number needed grows with the logarithm of the longest chain.
 MAX_ROUNDS = 60
+#: Members from which on a bucket is cut into finer ones, where there is a rule for it.
+REFINE_FROM = 64
+
+
+def within(max_bits: int) -> Callable[[Column, Column], Column]:
+    """The test whether two signatures differ in at most max_bits bits."""
+    return lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= max_bits
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,23 +45,26 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges has columns a and b of one type, a <> b; nodes without edges do not appear.
     Alternates large-star and small-star steps until no edge changes; every round is
-    written to the shared folder. Minima are taken before rows are moved, so a node
-    with very many neighbours costs no task more than its share of edges.
+    written to the shared folder. Minima are taken before rows are moved. The minima of
+    few nodes are broadcast; those of many are joined after a shuffle, where adaptive
+    execution splits the partition of a node with very many neighbours.
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    mark = None
+    mark, n = None, now.count()
     for _ in range(MAX_ROUNDS):
+        small_side = F.broadcast if 2 * n <= BROADCAST_CELLS else (lambda df: df)
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("v > u").join(small_side(low), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low2, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        small = large.join(small_side(low2), "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         now = materialise(small)
         # a forest of stars on smallest nodes stays as it is: then each node has one edge and no centre is a leaf
         seen = now.agg(F.count("*").alias("n"), F.count_distinct("a").alias("leaves"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
-        if mark == seen or (not seen["n"]):
+        n = seen["n"]
+        if mark == seen or not n:
             break
-        if seen["n"] == seen["leaves"] and now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty():
+        if n == seen["leaves"] and now.join(small_side(now.select(F.col("b").alias("a")).distinct()), "a", "left_semi").isEmpty():
             break
         mark = seen
     else:
@@ -62,42 +77,56 @@ def spread(nodes: DataFrame) -> DataFrame:
     return nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
 
 
-def bucket_components(members: DataFrame, max_bits: int, confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def bucket_components(
+    members: DataFrame,
+    near: Callable[[Column, Column], Column],
+    confirm: Callable[[DataFrame], DataFrame] | None = None,
+    refine: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
     """Components of the nodes of members (key, id, sig): (node, component) for nodes with links.
 
-    Two nodes of a bucket may be linked if their signatures differ in at most max_bits
-    bits. confirm takes distinct pairs (a, b) of ids and returns those that are linked;
-    without it, all of these are. Buckets of two, most of which two strangers share by
-    chance, are settled while buckets are counted and leave no row unless they may be
-    linked. Members are moved by key once; counting and joining read the same shuffle.
-    A node has many keys, so the key of a large group holds a small part of all members.
+    Two nodes of a bucket may be linked if near(sig, sig) holds. confirm takes distinct
+    pairs (a, b) of ids and returns those that are linked; without it, all of these are.
+    Buckets of two, most of which two strangers share by chance, are settled while
+    buckets are counted and leave no row unless they may be linked. Members are moved by
+    key once; deduplicating, counting and joining read the same shuffle. Members may
+    repeat, but not once for each row of a hot group. A node has many keys, so the key
+    of a large group holds a small part of all members.
+
+    refine(key, sig) gives finer keys, at least one of which any two near members of a
+    bucket share. They take the place of the key where more than REFINE_FROM members
+    share it, so that strangers in a crowded bucket are not compared with each other.
     """
     confirm = confirm or (lambda pairs: pairs)
-    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= max_bits
-    dealt = members.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     mix = F.xxhash64("key")
-    drawn = dealt.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mix)).alias("least"), F.bit_xor("sig").alias("differ"), F.count("*").alias("n"))
-    drawn = drawn.where((F.col("n") > 2) | ((F.col("n") == 2) & (F.bit_count("differ") <= max_bits))).drop("differ")
+    dealt = members.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").dropDuplicates(["key", "id"])
+    drawn = dealt.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mix)).alias("least"), F.min("sig").alias("low"), F.max("sig").alias("high"), F.count("*").alias("n"))
+    drawn = drawn.where((F.col("n") > 2) | ((F.col("n") == 2) & near(F.col("low"), F.col("high")))).drop("low", "high")
     shared = materialise(dealt.join(drawn.hint("shuffle_hash"), "key").select("key", "id", "sig", F.col("least").bitwiseXOR(mix).alias("head"), "n"))
-    wide = shared.where("n > 2").select("key", "id", "sig", "head")
+    wide = shared.where("n > 2").select("key", "id", "sig", "head", "n")
     heads = wide.where("id = head").select("key", F.col("sig").alias("head_sig"))
     tested = wide.where("id <> head").join(heads, "key").where(near(F.col("sig"), F.col("head_sig")))
-    pairs = shared.where("n = 2 AND id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).unionByName(tested.select(F.col("id").alias("a"), F.col("head").alias("b")))
-    first = materialise(confirm(pairs.distinct()))
+    twos = shared.where("n = 2 AND id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
+    first = materialise(confirm(twos.unionByName(tested.select(F.col("id").alias("a"), F.col("head").alias("b"))).distinct()))
     groups = materialise(components(first))
     # pass 2: buckets of two are settled, and so are pairs with the drawn member
     n_groups = groups.count()
     wide = join_sized(wide, groups.withColumnRenamed("node", "id"), ["id"], "left", n_groups)
     roots = groups.select(F.col("node").alias("head"), F.col("component").alias("head_component"))
     wide = join_sized(wide, roots, ["head"], "left", n_groups).select(
-        "key", "id", "sig", "head", F.coalesce("component", "id").alias("component"), F.coalesce("head_component", "head").alias("head_component")
+        "key", "id", "sig", "head", "n", F.coalesce("component", "id").alias("component"), F.coalesce("head_component", "head").alias("head_component")
     )
+    if refine is not None:
+        finer = F.when(F.col("n") > REFINE_FROM, refine(F.col("key"), F.col("sig"))).otherwise(F.array(F.lit(-1).cast("long")))
+        wide = wide.where("id <> head").withColumn("sub", F.explode(finer))
+    else:
+        wide = wide.where("id <> head").withColumn("sub", F.lit(-1).cast("long"))
     wide = materialise(wide)
-    odd = wide.where("component <> head_component").select("key", F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("component").alias("component_a"), "head_component")
-    mates = wide.where("id <> head").select("key", F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("component").alias("component_b"))
+    odd = wide.where("component <> head_component").select("key", "sub", F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("component").alias("component_a"), "head_component")
+    mates = wide.select("key", "sub", F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("component").alias("component_b"))
     # of two odd members one order is enough
     new = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("head_component")) | (F.col("a") < F.col("b")))
-    more = odd.join(mates, (odd["key"] == mates["key"]) & new & near(F.col("sig_a"), F.col("sig_b"))).select("a", "b").distinct()
+    more = odd.join(mates, (odd["key"] == mates["key"]) & (odd["sub"] == mates["sub"]) & new & near(F.col("sig_a"), F.col("sig_b"))).select("a", "b").distinct()
     more = materialise(confirm(more))
     if more.isEmpty():
         return groups

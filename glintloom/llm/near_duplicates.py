@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glintloom.llm.common import join_sized, materialise, text_key
-from glintloom.llm.linking import bucket_components, components, spread
+from glintloom.llm.linking import bucket_components, components, spread, within
 
 MAX_BITS = 4
 #: A signature is hot if more than one in so many rows have it.
@@ -88,6 +88,21 @@ def variants(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode(F.array(*keys)).alias("key"), "id", "sig")
 
 
+def finer_keys(key: Column, sig: Column) -> Column:
+    """Keys that cut a crowded bucket of variants: the bits outside its segment in five parts, one of which is equal where at most four bits differ."""
+    place = F.shiftright(key, 32)
+    out = F.lit(None).cast("array<bigint>")
+    for first, width in SEGMENTS:
+        rest = [b for b in range(64) if not first <= b < first + width]
+        edges = [len(rest) * k // (MAX_BITS + 1) for k in range(MAX_BITS + 2)]
+        parts = []
+        for k in range(MAX_BITS + 1):
+            mask = sum(1 << b for b in rest[edges[k] : edges[k + 1]])
+            parts.append(F.xxhash64(F.lit(k), sig.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
+        out = F.when((place >= first) & (place < first + width), F.array(*parts)).otherwise(out)
+    return out
+
+
 def near_duplicate_components(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, key, sig, component and component_id: the smallest doc_id reachable over fingerprints that differ in at most four bits.
 
@@ -98,7 +113,7 @@ def near_duplicate_components(docs: DataFrame, shingle: int = 4, seed: int = 42)
     """
     prints = materialise(fingerprints(docs, shingle, seed))
     nodes = prints.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).withColumn("id", F.col("sig"))
-    found = bucket_components(variants(spread(nodes.select("id", "sig"))), MAX_BITS)
+    found = bucket_components(variants(spread(nodes.select("id", "sig"))), within(MAX_BITS), refine=finer_keys)
     return attach_components(prints, nodes, found)
 
 
@@ -109,8 +124,11 @@ def attach_components(prints: DataFrame, nodes: DataFrame, found: DataFrame) ->
     HOT_SHARE, are looked up in a broadcast table; the others are joined after a shuffle.
     """
     least = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    smallest = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_sig = materialise(least.join(smallest, "component").select("sig", "component", "component_id", "n"))
+    least = materialise(least)
+    smallest = materialise(least.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("size")).where("size > 1").drop("size"))
+    # only components of several nodes need a look-up; salted, a component with very many is no hot key
+    looked_up = join_sized(least, smallest, ["component"], "left", salts=16)
+    by_sig = materialise(looked_up.select("sig", "component", F.coalesce("component_id", "least").alias("component_id"), "n"))
     most = prints.count() // HOT_SHARE
     hot, rest = (by_sig.where(c).drop("n") for c in (F.col("n") > most, F.col("n") <= most))
     if hot.isEmpty():
@@ -208,7 +226,7 @@ def similar_components(docs: DataFrame, shingle: int = 5, least: float = MIN_JAC
         return first.unionByName(_compared(left, texts, shingle, least))
 
     members = spread(nodes.select("id", "bands")).select(F.explode("bands").alias("key"), "id", F.lit(0).cast("long").alias("sig"))
-    return attach_components(prints.drop("bands"), nodes.select("sig", "id", "least", "n"), bucket_components(members, 0, confirm))
+    return attach_components(prints.drop("bands"), nodes.select("sig", "id", "least", "n"), bucket_components(members, within(0), confirm))
 
 
 def first_of_groups(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:

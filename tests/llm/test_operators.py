@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 
 import public_tokenizers
@@ -84,7 +85,7 @@ def test_near_duplicates_match_brute_force(spark):
             prints.append(x)
     signed = sorted({p - (1 << 64) if p >> 63 else p for p in prints})
     nodes = spark.createDataFrame([(s, s) for s in signed], "id long, sig long")
-    got = {r.node: r.component for r in linking.bucket_components(near_duplicates.variants(nodes), near_duplicates.MAX_BITS).collect()}
+    got = {r.node: r.component for r in linking.bucket_components(near_duplicates.variants(nodes), linking.within(4), refine=near_duplicates.finer_keys).collect()}
     want = brute_components(signed, lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1") <= 4)
     assert {n: got.get(n, n) for n in signed} == want
 
@@ -165,28 +166,46 @@ def brute_word_hash(word):
     if len(word) > 1024:
         word = xxhash.xxh64_hexdigest(word.encode())
     h = sum((c + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, c in enumerate(word.encode(), 1))
-    return mix(mix(h & (1 << 64) - 1) >> 24)
+    return mix(mix(h & (1 << 64) - 1) >> 28 << 4 | min(len(word.encode()), 15))
+
+
+def brute_simhash(words):
+    hashes = [brute_word_hash(w) for w in words]
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
 
 
 def test_line_simhash_matches_brute_force():
     rng = random.Random(5)
-    lines = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(n)) for n in (1, 2, 255, 256, 700, 1500, 9000)] + ["é ü \x07x", "x " + "q" * 3000, "x"]
-    for line, got in zip(lines, line_dedup.line_simhashes(lines).tolist(), strict=True):
-        hashes = [brute_word_hash(w) for w in set(line.split(" "))]
-        assert got & (1 << 64) - 1 == sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+    lines = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(n)) for n in (1, 2, 17, 255, 256, 700, 1500, 9000)] + ["é ü \x07x", "x " + "q" * 3000, "x"]
+    for line, got in zip(lines, line_dedup.fingerprinted(lines)[0].tolist(), strict=True):
+        words = set(line.split(" "))
+        assert got & (1 << 64) - 1 == (brute_simhash(words) if len(words) > 15 else 0)
+
+
+def test_lines_that_differ_in_fewer_words_than_blocks_share_a_key():
+    rng = random.Random(6)
+    for n in (4, 9, 15, 24, 40, 70, 130):
+        words = [f"word{k:05d}x{rng.randint(0, 999)}" for k in range(n)]
+        struck = words[:3] + words[4:]
+        swapped = [*words[:-1], "other"]
+        keys = [set(k.tolist()) for k in line_dedup.fingerprinted([" ".join(x) for x in (words, struck, swapped)])[1]]
+        assert keys[0] & keys[1] and keys[0] & keys[2], n
+    one, other = (set(k.tolist()) for k in line_dedup.fingerprinted(["read more", "read mores"])[1])
+    assert one & other
 
 
 def brute_lines(docs):
+    """Components over edit similarity alone, without any candidate search."""
     lines = {}
     for i, t in docs:
         for k, line in enumerate((t or "").split("\n")):
             if plain := line_dedup.normalised(line):
                 lines.setdefault(plain, []).append((i, k))
-    plain = sorted(lines)
-    sig = dict(zip(plain, line_dedup.line_simhashes(plain).tolist(), strict=True))
+    plain = sorted(lines, key=len)
 
     def linked(a, b):
-        return bin((sig[a] ^ sig[b]) & (1 << 64) - 1).count("1") <= line_dedup.MAX_BITS and levenshtein(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)
+        most = int(max(len(a), len(b)) * 0.2 + 1e-9)
+        return abs(len(a) - len(b)) <= most and line_dedup.edit_distance(a, b) <= most
 
     groups = {}
     for line, root in brute_components(plain, linked).items():
@@ -198,22 +217,26 @@ def brute_lines(docs):
     return {i: sorted(v) for i, v in out.items()}
 
 
-def test_line_dedup_matches_brute_force(spark):
+def test_line_dedup_against_edit_similarity_alone(spark):
     rng = random.Random(9)
-    vocabulary = [f"w{k}" for k in range(400)]
-    base = [" ".join(rng.choices(vocabulary, k=rng.randrange(3, 60))) for _ in range(25)]
+    letters = "etaoinshrdlu"
+    vocabulary = ["".join(rng.choices(letters, k=rng.randrange(2, 10))) for _ in range(600)]
+    base = [" ".join(rng.choices(vocabulary, k=n)) for n in [*range(2, 12), *rng.choices(range(12, 90), k=30)]]
     docs = []
-    for i in range(60):
+    for i in range(90):
         lines = []
-        for _ in range(rng.randrange(0, 5)):
+        for _ in range(rng.randrange(0, 6)):
             words = rng.choice(base).split()
-            for _ in range(rng.randrange(0, 2)):
+            for _ in range(rng.randrange(0, 1 + len(words) // 7)):
                 words[rng.randrange(len(words))] = rng.choice(vocabulary)
             lines.append(" ".join(words).upper() if rng.random() < 0.2 else "  ".join(words))
         docs.append((i, "\n".join(lines)))
     got = {r.doc_id: r.removed for r in line_dedup.repeated_lines(frame(spark, [t for _, t in docs])).collect()}
     want = brute_lines(docs)
-    assert got == want and sum(map(len, want.values())) > 30
+    total, found = sum(map(len, want.values())), sum(len(set(v) & set(want[i])) for i, v in got.items())
+    assert total > 100 and found >= 0.95 * total
+    # nothing goes that edit similarity does not join: a group cut in two keeps a line more, never a stranger
+    assert sum(map(len, got.values())) <= total
 
 
 def test_line_dedup_edges(spark, odd):
@@ -236,12 +259,28 @@ def test_contamination_by_hand(spark):
     assert got[1] == (313, 13, ["7"], False)
     assert got[2] == (4, 2, ["9"], True)
     assert got[3] == got[4] == (0, 0, [], False)
-    assert got[5][1] == got[6][1] == 0
-    assert sorted(r.doc_id for r in decontamination.decontaminate(docs, bench).collect()) == [1, 3, 4, 5, 6]
+    # the item without an id has no name, but its words are hit
+    assert got[5][1] == 0 and got[6] == (2, 2, [], True)
+    assert sorted(r.doc_id for r in decontamination.decontaminate(docs, bench).collect()) == [1, 3, 4, 5]
     spans = {r.doc_id: r.text for r in decontamination.decontaminate(docs, bench, remove="spans").collect()}
     assert spans[0] == "" and spans[2] == "a here" and spans[1] == "x " * 299 + "x" and spans[3] is None
 
 
+def test_contamination_of_very_long_texts_is_linear(spark):
+    item = [f"item{k}" for k in range(30)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    words = [f"w{k % 977}" for k in range(200_000)]
+    words[150_000:150_030] = item
+    taken, counts = [], []
+    for n in (50_000, 200_000):
+        docs = frame(spark, [" ".join(words[-n:])])
+        start = time.perf_counter()
+        counts.append(decontamination.contamination(docs, bench).select("n_words", "n_hit", "item_ids").first())
+        taken.append(time.perf_counter() - start)
+    assert [tuple(c) for c in counts] == [(50_000, 30, ["1"]), (200_000, 30, ["1"])]
+    assert taken[1] < 6 * taken[0] + 5
+
+
 def test_contamination_edges(spark, odd):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     got = decontamination.contamination(odd, bench)
@@ -289,6 +328,21 @@ def test_automaton_matches_the_library(spark, tricky):
         want = library.encode(r.text or "", add_special_tokens=False).ids
         assert list(r.token_ids) == want
         assert r.decoded == library.decode(want, skip_special_tokens=False) == (r.text or "")
+    both = token_automaton.bpe_round_trip(frame(spark, tricky), path)
+    assert both.columns == ["doc_id", "text", "lang", "source", "n_chars", "token_ids", "decoded"]
+    assert sorted(both.collect()) == sorted(token_automaton.bpe_decode(encoded, path).collect())
+
+
+def test_automaton_caches_are_bounded(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(token_automaton, "WORD_CACHE", 3000)
+    monkeypatch.setattr(token_automaton, "TABLE_CACHE", 3000)
+    small, whole = token_automaton.TokenAutomaton(path), token_automaton.loaded(path)
+    rng = random.Random(3)
+    for _ in range(60):
+        text = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randrange(1, 12))) for _ in range(30))
+        assert small.encode(text) == whole.encode(text)
+        assert len(small._encoded) <= 16 and len(small._table) <= 26
 
 
 def test_automaton_states_are_deterministic():
