@@ -57,8 +57,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = token_automaton.bpe_encode(_table(spark, sf_dir, "documents"), path, keep=["doc_id"])
-    return token_automaton.digests(token_automaton.bpe_decode(encoded, path))
+    return token_automaton.digests(token_automaton.bpe_round_trip(_table(spark, sf_dir, "documents"), path, keep=["doc_id"]))
 
 
 def op8_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

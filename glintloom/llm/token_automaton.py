@@ -28,8 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries kept by a worker before it starts anew; bounds its memory, not the result.
-CACHE_ENTRIES = 500_000
+#: Bytes, as estimated, that a worker keeps of words with their ids, and of transitions, before it starts anew. They bound its memory, not the result.
+WORD_CACHE, TABLE_CACHE = 24 << 20, 24 << 20
+#: What an entry takes beside its characters and ids: the objects and its place in the dictionary.
+_WORD_BYTES, _ARC_BYTES = 200, 120
 _LONGEST_KEPT = 64
 #: Fixed value: the pre-tokenisation pattern of the byte-level vocabularies.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -37,6 +39,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 _LATIN_WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _NOT_LATIN = re.compile(r"[^\t\n\r -~¡-ɏ]|[²³¹¼½¾]")
 _loaded: dict[str, TokenAutomaton] = {}
+_loaded_labels: dict[str, dict[int, bytes]] = {}
 
 
 def _byte_of_character() -> dict[str, int]:
@@ -46,26 +49,37 @@ def _byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _labels(spec: dict) -> dict[int, bytes]:
+    """The bytes that the arcs of each token emit."""
+    byte = _byte_of_character()
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    return {i: bytes(byte[c] for c in t) for t, i in spec["model"]["vocab"].items() if t not in special} | {i: t.encode() for t, i in special.items()}
+
+
+def emitted(label: dict[int, bytes], ids: list[int]) -> str:
+    """The labels of the arcs, joined and read as UTF-8."""
+    return b"".join([label[i] for i in ids]).decode("utf-8", "replace")
+
+
 class TokenAutomaton:
     """The automaton of a byte-level BPE vocabulary file of the tokenizers library."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, byte = spec["model"], _byte_of_character()
+        model = spec["model"]
         if spec["normalizer"] is not None or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError("only byte-level vocabularies without normaliser and prefix space are supported")
         if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError("added tokens must match as they are")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        raw = {t: bytes(byte[c] for c in t) for t in model["vocab"] if t not in self.special}
-        self.label = {model["vocab"][t]: b for t, b in raw.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.label = _labels(spec)
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self._compile([(model["vocab"][a], model["vocab"][b], model["vocab"][a + b]) for a, b in merges])
         self._ends = ahocorasick.Automaton()
-        for t, b in raw.items():
-            i = model["vocab"][t]
-            if len(b) == 1 or i in self._born:
+        added = set(self.special.values())
+        for i, b in self.label.items():
+            if i not in added and (len(b) == 1 or i in self._born):
                 self._ends.add_word(b.decode("latin-1"), i << 8 | len(b))
         self._ends.make_automaton()
         special = "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))
@@ -73,6 +87,7 @@ class TokenAutomaton:
         self._words = regex.compile(WORDS)
         #: Words met so far, with their ids as packed integers.
         self._encoded: dict[str, bytes] = {}
+        self._kept = 0
 
     def _compile(self, merges: list[tuple[int, int, int]]) -> None:
         #: Of each merged token its time and its parts; of each merge that took part, its time.
@@ -114,7 +129,7 @@ class TokenAutomaton:
         """The transition table: whether token t may follow token `before`."""
         key = before << 32 | t
         if (known := self._table.get(key)) is None:
-            if len(self._table) >= 2 * CACHE_ENTRIES:
+            if len(self._table) * _ARC_BYTES >= TABLE_CACHE:
                 self._table.clear()
             known = self._table[key] = self._arc_after(before, 1 << 60, t)
         return known
@@ -143,9 +158,11 @@ class TokenAutomaton:
             at -= back[at]
         known = array("i", reversed(out)).tobytes()
         if len(word) <= _LONGEST_KEPT:
-            if len(self._encoded) >= CACHE_ENTRIES:
+            if self._kept >= WORD_CACHE:
                 self._encoded.clear()
+                self._kept = 0
             self._encoded[word] = known
+            self._kept += _WORD_BYTES + 2 * len(word) + len(known)
         return known
 
     def packed(self, text: str) -> bytes:
@@ -165,8 +182,7 @@ class TokenAutomaton:
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, joined and read as UTF-8."""
-        label = self.label
-        return b"".join([label[i] for i in ids]).decode("utf-8", "replace")
+        return emitted(self.label, ids)
 
 
 def loaded(path: str) -> TokenAutomaton:
@@ -176,6 +192,16 @@ def loaded(path: str) -> TokenAutomaton:
     return _loaded[path]
 
 
+def loaded_labels(path: str) -> dict[int, bytes]:
+    """The labels alone, which are all that decoding needs."""
+    if path in _loaded:
+        return _loaded[path].label
+    if path not in _loaded_labels:
+        with open(path, encoding="utf-8") as f:
+            _loaded_labels[path] = _labels(json.load(f))
+    return _loaded_labels[path]
+
+
 def _lists(packed: list[bytes]) -> pa.Array:
     sizes = np.cumsum([0, *map(len, packed)]) // 4
     values = pa.array(np.frombuffer(b"".join(packed), dtype=np.int32))
@@ -205,22 +231,45 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str =
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
-    """encoded with decoded (string): the text of each row's token ids; null ids give an empty text."""
+    """encoded with decoded (string): the text of each row's token ids; null and empty ids give an empty text.
+
+    Every row stands for itself, so repeated rows and ties need no care. A column named
+    decoded that encoded has already is replaced. An empty table gives an empty table.
+    """
     kept = encoded.drop(text)
     names = [*kept.columns, text]
     schema = T.StructType([*kept.schema.fields, T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = loaded(vocabulary).decode
+        label = loaded_labels(vocabulary)
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
-                made = [decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else "" for x in batch.column(ids)]
+                made = [emitted(label, x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else "" for x in batch.column(ids)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=names)
 
     return kept.mapInArrow(run, schema)
 
 
+def bpe_round_trip(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """What bpe_decode(bpe_encode(docs)) gives, encoded and decoded by one Python worker for each task in place of two."""
+    new = (ids.lower(), decoded.lower())
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
+    read = docs.select(*kept, F.col(text).alias("__text"))
+    schema = T.StructType([*read.schema.fields[:-1], T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(decoded, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = loaded(vocabulary)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 100):
+                batch = whole.slice(start, 100)
+                packed = [automaton.packed(x) if x else b"" for x in batch.column("__text").to_pylist()]
+                back = pa.array([automaton.decode(array("i", p).tolist()) for p in packed], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(packed), back], names=[*kept, ids, decoded])
+
+    return read.mapInArrow(run, schema)
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the ids (decimal, comma-joined) and of the decoded text."""
     return decoded.select(
