@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Cells that may be broadcast: one for each row and one for each element of its arrays, of at most a few dozen bytes each. Larger sides are shuffled.
-BROADCAST_CELLS = 400_000
+#: Cells that may be broadcast: one for each row and one for each element of its arrays, of some 16 to 40 bytes each. Larger sides are shuffled.
+BROADCAST_CELLS = 1_500_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _tables: dict[int, list[str]] = {}

@@ -65,17 +65,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
     for length in sorted(sizes) or [n]:
         # hashes alone: an exploded row that held the words would hold all words of its document
         scanned = read.select("doc_id", "key", F.posexplode(_hashes(_words(F.col("text")), length)).alias("start", "hash"))
-        known = windows.where(F.col("length") == length).select(_hashes(F.col("window"), length)[0].alias("hash"), "window", "items")
+        known = windows.where(F.col("length") == length).select(_hashes(F.col("window"), length)[0].alias("hash"), F.array_join("window", " ").alias("window"), "items")
         if sizes.get(length, 0) <= MAX_BROADCAST_WINDOWS:
             scanned, known = scanned.join(F.broadcast(known.select("hash").distinct()), "hash", "left_semi"), F.broadcast(known)
         found.append(scanned.join(known, "hash").select("doc_id", "key", F.struct("start", F.lit(length).alias("length"), "window", "items").alias("m")))
     # repeated rows repeat their matches
     maybe = reduce(DataFrame.unionByName, found).groupBy("doc_id", "key").agg(F.collect_set("m").alias("matches"))
     maybe = materialise(maybe.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "matches"))
-    size = maybe.agg(F.sum(F.aggregate("matches", F.lit(1), lambda a, m: a + F.size(m["window"]) + F.size(m["items"])).cast("long"))).first()[0] or 0
+    # a window counts as four cells
+    size = maybe.agg(F.sum(F.aggregate("matches", F.lit(1), lambda a, m: a + 4 + F.size(m["items"])).cast("long"))).first()[0] or 0
     same = (text_key(docs["text"]) == F.col("__key")) & docs["doc_id"].eqNullSafe(F.col("__id"))
     texts = join_sized(docs.select("doc_id", "text"), maybe, same, "inner", size).select("__id", "__key", "text", "matches")
-    true = let(_words(F.col("text")), lambda w: F.filter("matches", lambda m: F.slice(w, m["start"] + 1, m["length"]) == m["window"]))
+    true = let(_words(F.col("text")), lambda w: F.filter("matches", lambda m: F.array_join(F.slice(w, m["start"] + 1, m["length"]), " ") == m["window"]))
     rows = texts.select(F.col("__id").alias("doc_id"), F.col("__key").alias("key"), true.alias("m")).where(F.size("m") > 0).dropDuplicates(["doc_id", "key"])
     ids = F.array_distinct(F.flatten(F.transform("m", lambda m: m["items"])))
     return rows.select(

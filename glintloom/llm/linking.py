@@ -89,9 +89,9 @@ def bucket_components(
     pairs (a, b) of ids and returns those that are linked; without it, all of these are.
     Buckets of two, most of which two strangers share by chance, are settled while
     buckets are counted and leave no row unless they may be linked. Members are moved by
-    key once; deduplicating, counting and joining read the same shuffle. Members may
-    repeat, but not once for each row of a hot group. A node has many keys, so the key
-    of a large group holds a small part of all members.
+    key once; counting and joining read the same shuffle. Members may repeat, but not
+    once for each row of a hot group. A node has many keys, so the key of a large group
+    holds a small part of all members.
 
     refine(key, sig) gives finer keys, at least one of which any two near members of a
     bucket share. They take the place of the key where more than REFINE_FROM members
@@ -99,10 +99,11 @@ def bucket_components(
     """
     confirm = confirm or (lambda pairs: pairs)
     mix = F.xxhash64("key")
-    dealt = members.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").dropDuplicates(["key", "id"])
-    drawn = dealt.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mix)).alias("least"), F.min("sig").alias("low"), F.max("sig").alias("high"), F.count("*").alias("n"))
-    drawn = drawn.where((F.col("n") > 2) | ((F.col("n") == 2) & near(F.col("low"), F.col("high")))).drop("low", "high")
-    shared = materialise(dealt.join(drawn.hint("shuffle_hash"), "key").select("key", "id", "sig", F.col("least").bitwiseXOR(mix).alias("head"), "n"))
+    dealt = members.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    drawn = dealt.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mix)).alias("least"), F.max(F.col("id").bitwiseXOR(mix)).alias("most"), F.min("sig").alias("low"), F.max("sig").alias("high"), F.count("*").alias("n"))
+    drawn = drawn.where((F.col("least") != F.col("most")) & ((F.col("n") > 2) | near(F.col("low"), F.col("high")))).drop("most", "low", "high")
+    shared = dealt.join(drawn.hint("shuffle_hash"), "key").select("key", "id", "sig", F.col("least").bitwiseXOR(mix).alias("head"), "n")
+    shared = materialise(shared.dropDuplicates(["key", "id"]))
     wide = shared.where("n > 2").select("key", "id", "sig", "head", "n")
     heads = wide.where("id = head").select("key", F.col("sig").alias("head_sig"))
     tested = wide.where("id <> head").join(heads, "key").where(near(F.col("sig"), F.col("head_sig")))

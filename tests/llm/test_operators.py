@@ -152,6 +152,7 @@ def test_line_similarity_matches_brute_force():
         b = "".join(b)
         distance, most = levenshtein(a, b), int(max(len(a), len(b)) * 0.2 + 1e-9)
         assert line_dedup.edit_distance(a, b) == distance
+        assert (line_dedup.edit_distance(a, b, 3) == distance) if distance <= 3 else line_dedup.edit_distance(a, b, 3) > 3
         assert line_dedup._word_bound(a.split(" "), b.split(" "), 1000) >= distance
         assert line_dedup.similar(a, b) == (distance <= most)
 
