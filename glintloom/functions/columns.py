@@ -129,3 +129,23 @@ def time_bin(frame: Column, step: int, length: int) -> Column:
     """Bin of a frame; the last bin takes in a tail of less than a step."""
     bins = max(length // step, 1)
     return F.least(F.floor(frame / step), F.lit(bins - 1)).cast("int")
+
+
+def track_mean(total: Column, length: Column) -> Column:
+    """The mean of a field that tracks hold as a sum; null for an empty track."""
+    return F.when(length > 0, total / length)
+
+
+def scaled_z(z: Column, z_min: float, z_max: float, size: int) -> Column:
+    """z in the units of a spline of this many intervals between z_min and z_max, all in nm."""
+    return F.lit(float(size)) * (z - z_min) / (z_max - z_min)
+
+
+def rescaled_z(z: Column, z_min: float, z_max: float, size: int) -> Column:
+    """The way back from spline units, to micrometres."""
+    return F.lit(1.0e-3) * (z * (z_max - z_min) / size + z_min)
+
+
+def track_cell(x: Column, y: Column, z: Column, scale: float, z_min: float, z_max: float, z_bins: int) -> tuple[Column, Column, Column]:
+    """The cell of a track in a 3-D grid: x and y rounded down, z cut towards zero, so that the first bin takes in what lies up to one bin below it."""
+    return F.floor(x * scale).cast("int"), F.floor(y * scale).cast("int"), ((z - z_min) * (z_bins / (z_max - z_min))).cast("int")

@@ -39,6 +39,35 @@ def area_mask(locs: DataFrame, centre: tuple[float, float], radius: float) -> Da
     return locs.where(F.pow(F.col("x") - centre[0], 2) + F.pow(F.col("y") - centre[1], 2) <= radius * radius)
 
 
+def rectangle(locs: DataFrame, x: tuple[float | None, float | None] = (None, None), y: tuple[float | None, float | None] = (None, None)) -> DataFrame:
+    """Rows from start up to, but not at, stop in x and y; None leaves a side open."""
+    for c, (start, stop) in (("x", x), ("y", y)):
+        if start is not None:
+            locs = locs.where(F.col(c) >= start)
+        if stop is not None:
+            locs = locs.where(F.col(c) < stop)
+    return locs
+
+
+def channel_view(locs: DataFrame, category: int | None = None, frames: tuple[int, int] | None = None, z: tuple[float, float] | None = None) -> DataFrame:
+    """Rows of one category, of frames from first up to stop, and of z strictly inside a range; None leaves a test out."""
+    if category is not None:
+        locs = locs.where(F.col("category") == category)
+    if frames is not None:
+        locs = locs.where((F.col("frame") >= frames[0]) & (F.col("frame") < frames[1]))
+    return locs if z is None else locs.where((F.col("z") > z[0]) & (F.col("z") < z[1]))
+
+
+def bright(locs: DataFrame, least: float, height: str = "height") -> DataFrame:
+    """Rows higher than `least`."""
+    return locs.where(F.col(height) > least)
+
+
+def without_status(peaks: DataFrame, *statuses: str) -> DataFrame:
+    """Peaks of none of these statuses, such as "ERROR" or "RUNNING"; a null status stays."""
+    return peaks.where(~F.coalesce(F.col("status").isin(*statuses), F.lit(False)))
+
+
 def without_outliers(rows: DataFrame, residuals: list[str], k: float, keys: list[str] = ()) -> DataFrame:  # type: ignore[assignment]
     """Rows whose residuals are all within k population standard deviations of zero."""
     spread = rows.groupBy(*keys).agg(*[F.stddev_pop(r).alias(f"__s_{r}") for r in residuals])

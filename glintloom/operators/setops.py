@@ -37,3 +37,16 @@ def expand_tracks(tracks: DataFrame, pixel_size: float) -> DataFrame:
 def odd_even(tracks: DataFrame) -> DataFrame:
     """tracks with half: parity of the id, for resolution estimates."""
     return tracks.withColumn("half", F.pmod(F.col("track_id"), F.lit(2)).cast("int"))
+
+
+def merged_maps(maps: list[DataFrame]) -> DataFrame:
+    """(source, target, axis, c0, c1, c2) of all maps between channel 0 and channel 1 of their own; the n-th map's channel 1 becomes channel n."""
+    number = lambda c, n: F.when(F.col(c) == 1, F.lit(n)).otherwise(F.col(c)).alias(c)
+    return reduce(DataFrame.unionByName, [m.select(number("source", n), number("target", n), "axis", "c0", "c1", "c2") for n, m in enumerate(maps, 1)])
+
+
+def top_one(rows: DataFrame, keys: list[str], score: str, ties: list[str]) -> DataFrame:
+    """Of each key the row with the highest score, of equal ones that first in `ties`. One pass of partial maxima, without sorting a key."""
+    rank = F.struct(F.col(score).alias("s"), *[(-F.col(t)).alias(t) for t in ties])
+    picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), rank).alias("top"))
+    return picked.select(*keys, "top.*")

@@ -67,3 +67,16 @@ def shifted_pairs(bins: DataFrame, index: str) -> DataFrame:
     """All pairs i < j of time bins: (i, j)."""
     a = bins.select(F.col(index).alias("i"))
     return a.join(bins.select(F.col(index).alias("j")), F.col("i") < F.col("j"))
+
+
+def offsets_to_z(stage: DataFrame, dz: float = 0.0, all_valid: bool = False) -> DataFrame:
+    """(frame, valid, z): stage positions (frame, stage_z) less the first one, plus dz.
+
+    Only frames from the first lowest to the first highest position are valid, unless
+    all are. The ends are one row, whatever the number of frames.
+    """
+    ends = stage.agg(
+        F.min_by("stage_z", "frame").alias("first"), F.min(F.struct("stage_z", "frame"))["frame"].alias("low"), F.max(F.struct("stage_z", (-F.col("frame")).alias("back")))["back"].alias("high")
+    )
+    valid = F.lit(1) if all_valid else ((F.col("frame") >= F.col("low")) & (F.col("frame") <= -F.col("high"))).cast("int")
+    return stage.join(F.broadcast(ends)).select("frame", valid.alias("valid"), (F.col("stage_z") - F.col("first") + F.lit(dz)).alias("z"))

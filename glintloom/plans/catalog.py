@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintloom.functions import columns as C
-from glintloom.operators import aggregate, cluster, filters, scan, setops, spatial, track, windows
+from glintloom.operators import aggregate, cluster, filters, image, scan, setops, spatial, track, windows
 from glintloom.sources.views import LOCS_SQL, PTS_SQL, drift, locs, pts, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -482,12 +482,12 @@ def _(spark, sf):
     return windows.interpolated(knots, 720, ["dx"]).select("frame", r("dx"))
 
 
-@query("fill_missing", f"""WITH {LOCS_SQL}, s AS (SELECT CAST(y AS BIGINT) AS id, frame, max(x) AS v FROM locs WHERE y < 5 GROUP BY ALL), g AS (SELECT id, CAST(f AS INTEGER) AS frame FROM (SELECT DISTINCT id FROM s), range(720) r(f)),
+@query("fill_missing", f"""WITH {LOCS_SQL}, s AS (SELECT CAST(y AS BIGINT) AS id, frame, max(x) AS v FROM locs GROUP BY ALL), g AS (SELECT id, CAST(f AS INTEGER) AS frame FROM (SELECT DISTINCT id FROM s), range(720) r(f)),
  k AS (SELECT id, frame, v, lead(frame) OVER w AS f2, lead(v) OVER w AS v2, row_number() OVER w AS i, count(*) OVER (PARTITION BY id) AS n FROM s WINDOW w AS (PARTITION BY id ORDER BY frame))
- SELECT g.id, g.frame, round(v + (g.frame - k.frame) * (v2 - v) / (f2 - k.frame), 6) AS x FROM g JOIN k ON g.id = k.id AND f2 IS NOT NULL AND (g.frame >= k.frame OR i = 1) AND (g.frame < f2 OR i = n - 1)""")
+ SELECT g.id, g.frame, round(v + (g.frame - k.frame) * (v2 - v) / (f2 - k.frame), 8) AS x FROM g JOIN k ON g.id = k.id AND f2 IS NOT NULL AND (g.frame >= k.frame OR i = 1) AND (g.frame < f2 OR i = n - 1)""")
 def _(spark, sf):
-    series = locs(spark, sf).where("y < 5").groupBy(F.col("y").cast("long").alias("id"), "frame").agg(F.max("x").alias("x"))
-    return windows.filled(series, 720, "x", "id").select("id", "frame", r("x"))
+    series = locs(spark, sf).groupBy(F.col("y").cast("long").alias("id"), "frame").agg(F.max("x").alias("x"))
+    return windows.filled(series, 720, "x", "id").select("id", "frame", r("x", 8))
 
 
 @query("sliding_background", f"WITH {PIXELS_SQL}, p AS (SELECT frame, y, x, avg(adu) AS adu FROM pixels GROUP BY ALL) SELECT frame, y, x, round(avg(adu) OVER (PARTITION BY y, x ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS background FROM p")
@@ -504,10 +504,10 @@ def _(spark, sf):
 # set operations
 
 
-@query("merge_union", "SELECT o_orderkey AS id, o_totalprice AS x, CAST(NULL AS DOUBLE) AS y FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT l_orderkey, l_extendedprice, l_quantity FROM lineitem WHERE l_linenumber = 1")
+@query("merge_union", "SELECT o_orderkey AS id, o_totalprice AS x, CAST(NULL AS DOUBLE) AS y FROM orders UNION ALL SELECT l_orderkey, l_extendedprice, l_quantity FROM lineitem")
 def _(spark, sf):
-    a = table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("x"))
-    b = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"))
+    a = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("x"))
+    b = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"))
     return setops.union_tables([a, b])
 
 
@@ -624,11 +624,11 @@ def _(spark, sf):
     return scan.movie_hash(frames)
 
 
-@query("average_fiducials", f"""WITH {LOCS_SQL}, s AS (SELECT CAST(y AS INTEGER) AS id, frame, max(x) AS v FROM locs WHERE y < 20 GROUP BY ALL), e AS (SELECT id FROM s GROUP BY id HAVING count(*) >= 60),
+@query("average_fiducials", f"""WITH {LOCS_SQL}, s AS (SELECT CAST(y AS INTEGER) AS id, frame, max(x) AS v FROM locs GROUP BY ALL), e AS (SELECT id FROM s GROUP BY id HAVING count(*) >= 60),
  k AS (SELECT id, frame, v, lead(frame) OVER w AS f2, lead(v) OVER w AS v2, row_number() OVER w AS i, count(*) OVER (PARTITION BY id) AS n FROM s WHERE id IN (SELECT id FROM e) WINDOW w AS (PARTITION BY id ORDER BY frame))
  SELECT CAST(f AS INTEGER) AS frame, round(avg(v + (f - frame) * (v2 - v) / (f2 - frame)), 4) AS x FROM range(720) r(f) JOIN k ON f2 IS NOT NULL AND (f >= frame OR i = 1) AND (f < f2 OR i = n - 1) GROUP BY f""")
 def _(spark, sf):
-    rows = locs(spark, sf).where("y < 20").groupBy(F.col("y").cast("int").alias("fiducial_id"), "frame").agg(F.max("x").alias("x"))
+    rows = locs(spark, sf).groupBy(F.col("y").cast("int").alias("fiducial_id"), "frame").agg(F.max("x").alias("x"))
     return track.average_fiducials(rows, 720, ["x"], 60 / 720).select("frame", r("x", 4))
 
 
@@ -656,3 +656,134 @@ def _(spark, sf):
 @query("quad_hashes")
 def _(spark, sf):
     return spatial.quads(pts(spark, sf), "vec_id", 0.1, 4.0, 5, ["category"])
+
+
+# images
+
+IMAGE_SQL = f"{PIXELS_SQL}, img AS (SELECT frame, y, x, CAST(sum(adu) AS DOUBLE) AS value FROM pixels GROUP BY ALL)"
+
+
+def summed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels(spark, sf_dir).groupBy("frame", "y", "x").agg(F.sum("adu").cast("double").alias("value"))
+
+
+def _kernel_sql(kernel: image.Kernel) -> str:
+    return "k(dy, dx, w) AS (VALUES " + ", ".join(f"({dy}, {dx}, {w!r}::DOUBLE)" for dy, dx, w in kernel) + ")"
+
+
+_PSF = image.gaussian_kernel(1.0, 2)
+
+
+@query("matched_filter", f"WITH {IMAGE_SQL}, {_kernel_sql(_PSF)} SELECT frame, CAST((y + dy + 16) % 16 AS INTEGER) AS y, CAST((x + dx + 16) % 16 AS INTEGER) AS x, round(sum(value * w), 4) AS value FROM img, k GROUP BY ALL")
+def _(spark, sf):
+    return image.matched_filter(summed(spark, sf), _PSF, 16, 16, ["frame"]).select("frame", "y", "x", r("value", 4))
+
+
+@query("rolling_ball", f"WITH {IMAGE_SQL}, {_kernel_sql(image.ball(6.0))}, m AS (SELECT frame, y + dy AS y, x + dx AS x, min(value - w) AS least FROM img, k GROUP BY ALL) SELECT frame, y, x, value, round(least(value, least) + 6.0, 6) AS background FROM img JOIN m USING (frame, y, x)")
+def _(spark, sf):
+    return image.rolling_ball(summed(spark, sf), 6.0, ["frame"]).select("frame", "y", "x", "value", r("background"))
+
+
+@query("labelled_regions", f"""WITH RECURSIVE {IMAGE_SQL}, cut AS (SELECT frame, avg(value) + 1.2 * stddev_pop(value) AS t FROM img GROUP BY frame), b AS (SELECT frame, y, x, value - t AS value, y * 16 + x AS id FROM img JOIN cut USING (frame) WHERE value > t),
+ e AS (SELECT p.frame, p.id AS a, q.id AS b FROM b p JOIN b q ON p.frame = q.frame AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1), reach AS (SELECT frame, id AS a, id AS b FROM b UNION SELECT r.frame, r.a, e.b FROM reach r JOIN e ON e.frame = r.frame AND e.a = r.b),
+ c AS (SELECT frame, a AS id, min(b) AS f FROM reach GROUP BY ALL), g AS (SELECT frame, f, count(*) AS n, sum(value) AS total, sum(value * y) / sum(value) AS cy, sum(value * x) / sum(value) AS cx FROM b JOIN c USING (frame, id) GROUP BY ALL)
+ SELECT frame, CAST(row_number() OVER (PARTITION BY frame ORDER BY f) AS INTEGER) AS label, n, round(total, 4) AS total, round(cy, 6) AS cy, round(cx, 6) AS cx FROM g""")
+def _(spark, sf):
+    rows = summed(spark, sf)
+    cut = rows.groupBy("frame").agg((F.avg("value") + 1.2 * F.stddev_pop("value")).alias("t"))
+    above = rows.join(cut, "frame").select("frame", "y", "x", (F.col("value") - F.col("t")).alias("value"))
+    return image.labelled_regions(above, 0.0, ["frame"]).select("frame", "label", "n", r("total", 4), r("cy"), r("cx"))
+
+
+@query("rolling_background", f"WITH {IMAGE_SQL} SELECT frame, y, x, round(avg(CASE WHEN frame <> 3 THEN value END) OVER (PARTITION BY y, x ORDER BY frame RANGE BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS background FROM img")
+def _(spark, sf):
+    skip = spark.range(3, 4).select(F.col("id").cast("int").alias("frame"))
+    return image.rolling_background(summed(spark, sf), 3, [], skip=skip).select("frame", "y", "x", r("background"))
+
+
+@query("channel_offset", f"WITH {IMAGE_SQL}, s AS (SELECT CAST(b.frame - a.frame AS INTEGER) AS lag, avg(a.value * b.value) AS score FROM img a JOIN img b ON a.y = b.y AND a.x = b.x AND abs(b.frame - a.frame) <= 2 GROUP BY 1) SELECT lag, round(score / 1e4, 4) AS score, lag = (SELECT arg_max(lag, score) FROM s) AS best FROM s")
+def _(spark, sf):
+    rows = summed(spark, sf)
+    return image.channel_offset(rows, rows, 2).select("lag", F.round(F.col("score") / 1e4, 4).alias("score"), "best")
+
+
+CALIBRATION_SQL = "cal AS (SELECT CAST(p_partkey % 40 AS INTEGER) AS y, CAST(p_partkey // 40 AS INTEGER) AS x, CAST(p_size AS DOUBLE) AS offset_, p_retailprice AS variance FROM part)"
+
+
+def _calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        (key % 40).cast("int").alias("y"), F.floor(key / 40).cast("int").alias("x"), F.col("p_size").cast("double").alias("offset"), F.col("p_retailprice").alias("variance"), F.lit(2.0).alias("gain"), F.lit(0.9).alias("rqe")
+    )
+
+
+@query("calibration_formats", f"""WITH {CALIBRATION_SQL} SELECT 0 AS version, x AS y, y AS x, offset_ AS "offset", variance, 2.0::DOUBLE AS gain, 1.0::DOUBLE AS rqe FROM cal UNION ALL SELECT 1, y, x, offset_, variance, 2.0, 1.0 FROM cal UNION ALL SELECT 2, y, x, offset_, variance, 2.0, 0.9 FROM cal""")
+def _(spark, sf):
+    rows = _calibration(spark, sf)
+    parts = [image.calibration(rows, v).select(F.lit(v).alias("version"), "*") for v in (0, 1, 2)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("calibration_reslice", f"""WITH {CALIBRATION_SQL} SELECT CAST(y - 5 AS INTEGER) AS y, CAST(x - 10 AS INTEGER) AS x, offset_ AS "offset", variance FROM cal WHERE x >= 10 AND x < 30 AND y >= 5 AND y < 20""")
+def _(spark, sf):
+    return image.reslice(image.calibration(_calibration(spark, sf), 2), 10, 5, 20, 15).select("y", "x", "offset", "variance")
+
+
+# small filters and columns
+
+
+@query("rectangle_mask", f"WITH {PTS_SQL} SELECT vec_id, x, y FROM pts WHERE x >= -1 AND x < 2 AND y >= 0")
+def _(spark, sf):
+    return filters.rectangle(pts(spark, sf), (-1, 2), (0, None)).select("vec_id", "x", "y")
+
+
+@query("channel_view", f"WITH {LOCS_SQL} SELECT frame, loc_id, x FROM (SELECT *, k / 10.0 AS z FROM locs) WHERE category = 2 AND frame >= 50 AND frame < 400 AND z > 0.5 AND z < 5")
+def _(spark, sf):
+    return filters.channel_view(locs(spark, sf).withColumn("z", F.col("k") / 10.0), 2, (50, 400), (0.5, 5)).select("frame", "loc_id", "x")
+
+
+@query("height_threshold", f"WITH {LOCS_SQL} SELECT frame, loc_id, sum FROM locs WHERE sum > 100")
+def _(spark, sf):
+    return filters.bright(locs(spark, sf), 100, "sum").select("frame", "loc_id", "sum")
+
+
+@query("peak_status", "SELECT o_orderkey, o_orderpriority AS status FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') OR o_orderpriority IS NULL")
+def _(spark, sf):
+    return filters.without_status(table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("status")), "1-URGENT", "2-HIGH")
+
+
+@query("track_means", f"WITH {LOCS_SQL} SELECT y, count(*) AS track_length, round(sum(sum) / count(*), 6) AS mean FROM locs GROUP BY y")
+def _(spark, sf):
+    tracks = locs(spark, sf).groupBy("y").agg(F.count("*").alias("track_length"), F.sum("sum").alias("total"))
+    return tracks.select("y", "track_length", F.round(C.track_mean(F.col("total"), F.col("track_length")), 6).alias("mean"))
+
+
+@query("spline_z", f"WITH {PTS_SQL} SELECT vec_id, round(20.0 * (z * 1000 + 500) / 1000, 6) AS scaled, round(0.001 * (20.0 * (z * 1000 + 500) / 1000 * 1000 / 20 - 500), 6) AS back FROM pts")
+def _(spark, sf):
+    scaled = C.scaled_z(F.col("z") * 1000, -500.0, 500.0, 20)
+    return pts(spark, sf).select("vec_id", F.round(scaled, 6).alias("scaled"), F.round(C.rescaled_z(scaled, -500.0, 500.0, 20), 6).alias("back"))
+
+
+@query("grid_tracks3d", f"WITH {PTS_SQL}, c AS (SELECT CAST(floor(x * 2) AS INTEGER) AS i, CAST(floor(y * 2) AS INTEGER) AS j, CAST(trunc((z + 0.5) * 10.0) AS INTEGER) AS k FROM pts) SELECT i, j, k, count(*) AS n FROM c GROUP BY ALL")
+def _(spark, sf):
+    i, j, k = C.track_cell(F.col("x"), F.col("y"), F.col("z"), 2.0, -0.5, 0.5, 10)
+    return pts(spark, sf).groupBy(i.alias("i"), j.alias("j"), k.alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("offsets_to_z", f"""WITH {LOCS_SQL}, s AS (SELECT frame, avg(x) AS z FROM locs GROUP BY frame), e AS (SELECT arg_min(z, frame) AS first, (SELECT min(frame) FROM s WHERE z = (SELECT min(z) FROM s)) AS lo, (SELECT min(frame) FROM s WHERE z = (SELECT max(z) FROM s)) AS hi FROM s)
+ SELECT frame, CAST(frame >= lo AND frame <= hi AS INTEGER) AS valid, round(z - first + 0.25, 6) AS z FROM s, e""")
+def _(spark, sf):
+    stage = locs(spark, sf).groupBy("frame").agg(F.avg("x").alias("stage_z"))
+    return windows.offsets_to_z(stage, 0.25).select("frame", "valid", r("z"))
+
+
+@query("merged_maps", "SELECT n_nationkey % 2 * 1 AS source, CASE WHEN n_nationkey % 2 = 1 THEN 0 ELSE 1 END AS target, n_name AS axis, 1.0::DOUBLE AS c0, 2.0::DOUBLE AS c1, CAST(n_regionkey AS DOUBLE) AS c2 FROM nation UNION ALL SELECT CASE WHEN n_nationkey % 2 = 1 THEN 2 ELSE 0 END, CASE WHEN n_nationkey % 2 = 1 THEN 0 ELSE 2 END, n_name, 3.0, 2.0, CAST(n_regionkey AS DOUBLE) FROM nation")
+def _(spark, sf):
+    source = (F.col("n_nationkey") % 2).cast("int")
+    one = table(spark, sf, "nation").select(source.alias("source"), (1 - source).alias("target"), F.col("n_name").alias("axis"), F.lit(1.0).alias("c0"), F.lit(2.0).alias("c1"), F.col("n_regionkey").cast("double").alias("c2"))
+    return setops.merged_maps([one, one.withColumn("c0", F.lit(3.0))])
+
+
+@query("best_match", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")
+def _(spark, sf):
+    return setops.top_one(table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_totalprice", ["o_orderkey"])

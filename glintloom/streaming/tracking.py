@@ -54,3 +54,10 @@ def stream_counts(locs: DataFrame, frames: int, slide: int | None = None) -> Dat
     """(start, category, n) over windows of frames: tumbling, or sliding by `slide`."""
     window = F.window("event_time", f"{frames} seconds", f"{slide or frames} seconds")
     return locs.groupBy(window.alias("w"), "category").agg(F.count("*").alias("n")).select(F.unix_timestamp("w.start").cast("int").alias("start"), "category", "n")
+
+
+def stream_sessions(locs: DataFrame, gap: int) -> DataFrame:
+    """(category, start, stop, n): runs of frames of a category without more than `gap` frames between two localizations; they come out when the watermark has passed them."""
+    window = F.session_window("event_time", f"{gap} seconds")
+    counted = locs.groupBy(window.alias("w"), "category").agg(F.count("*").alias("n"), F.min("frame").alias("start"), F.max("frame").alias("stop"))
+    return counted.select("category", "start", "stop", "n")

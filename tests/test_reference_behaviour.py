@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from glintloom.functions import columns as C
-from glintloom.operators import aggregate, cluster, colour, drift, filters, graph, peaks, scan, setops, simulate, spatial, track, windows
+import simulate
+
+from glintloom.operators import aggregate, cluster, colour, drift, filters, graph, peaks, scan, setops, spatial, track, windows
 from glintloom.sources import molecules, movies, text
 
 
