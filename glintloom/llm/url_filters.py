@@ -23,8 +23,10 @@ Z = 1.645
 MAX_BAD = 0.4
 #: Limits of the estimated strength of a prior, in pages.
 STRENGTH = (1.0, 1000.0)
-#: Second-level labels below which names are registered under two-letter suffixes.
-SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+#: Second-level labels below which names are registered under two-letter suffixes, and shared names whose parts belong to others.
+SECOND_LEVEL = tuple("ac art asn biz co com edu firm gen go gob gouv gov govt gv id in info ltd me mil mod muni ne net nhs nom ny or org plc pp re res sch tm web".split())
+SHARED_NAMES = tuple("appspot.com azurewebsites.net blogspot.com firebaseapp.com github.io gitlab.io herokuapp.com netlify.app pages.dev tumblr.com vercel.app web.app wordpress.com workers.dev".split())
+_ADDRESS = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$|^\["
 LEVELS = ("suffix", "domain", "host")
 
 
@@ -39,13 +41,14 @@ def url_path(url: Column) -> Column:
 
 
 def _names(host: Column) -> dict[str, Column]:
-    """The levels of a host: without user and port, its registered domain and its suffix."""
+    """The levels of a host: without user and port, its registered domain and its suffix. An IP address is its own domain and suffix."""
     name = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
+    address = name.rlike(_ADDRESS)
     labels = F.split(name, r"\.")
     size = F.size(labels)
-    two = (size >= 3) & (F.length(F.get(labels, size - 1)) == 2) & F.get(labels, size - 2).isin(*SECOND_LEVEL)
     last = lambda n: F.substring_index(name, ".", -n)
-    return {"host": name, "domain": F.when(two, last(3)).otherwise(last(2)), "suffix": F.when(two, last(2)).otherwise(last(1))}
+    two = (size >= 3) & (((F.length(F.get(labels, size - 1)) == 2) & F.get(labels, size - 2).isin(*SECOND_LEVEL)) | last(2).isin(*SHARED_NAMES))
+    return {"host": name, "domain": F.when(address, name).when(two, last(3)).otherwise(last(2)), "suffix": F.when(address, name).when(two, last(2)).otherwise(last(1))}
 
 
 def rule_columns(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -147,7 +150,7 @@ def oracle(rules: list[tuple[str, str]]) -> str:
     """DuckDB SQL for the columns that the query op2 returns."""
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     host = f"coalesce({lower.format("regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')")}, '')"
-    second = ", ".join(f"'{x}'" for x in SECOND_LEVEL)
+    second, shared = (", ".join(f"'{x}'" for x in names) for names in (SECOND_LEVEL, SHARED_NAMES))
 
     def tail(n: int) -> str:
         return f"array_to_string(list_slice(l, greatest(len(l) - {n - 1}, 1), len(l)), '.')"
@@ -172,8 +175,8 @@ def oracle(rules: list[tuple[str, str]]) -> str:
     return f"""
     WITH parts AS (SELECT page_id, {host} AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path, url FROM pages),
     labels1 AS (SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS l FROM parts),
-    named AS (SELECT * EXCLUDE (l), array_to_string(l, '.') AS h, len(l) >= 3 AND length(l[-1]) = 2 AND l[-2] IN ({second}) AS two, {tail(1)} AS t1, {tail(2)} AS t2, {tail(3)} AS t3 FROM labels1),
-    page AS (SELECT page_id, url, host AS raw_host, path, h AS host, CASE WHEN two THEN t3 ELSE t2 END AS domain, CASE WHEN two THEN t2 ELSE t1 END AS suffix FROM named),
+    named AS (SELECT * EXCLUDE (l), array_to_string(l, '.') AS h, len(l) >= 3 AND ((length(l[-1]) = 2 AND l[-2] IN ({second})) OR {tail(2)} IN ({shared})) AS two, regexp_matches(array_to_string(l, '.'), '{_ADDRESS}') AS ip, {tail(1)} AS t1, {tail(2)} AS t2, {tail(3)} AS t3 FROM labels1),
+    page AS (SELECT page_id, url, host AS raw_host, path, h AS host, CASE WHEN ip THEN h WHEN two THEN t3 ELSE t2 END AS domain, CASE WHEN ip THEN h WHEN two THEN t2 ELSE t1 END AS suffix FROM named),
     outcome AS (SELECT doc_id, max(CASE WHEN coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
     seen AS (SELECT suffix, domain, host, bad::DOUBLE AS bad FROM page JOIN outcome ON doc_id = page_id WHERE url IS NOT NULL),
     whole AS (SELECT (coalesce(sum(bad), 0) + 1) / (count(*) + 2)::DOUBLE AS mean FROM seen),

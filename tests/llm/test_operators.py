@@ -473,9 +473,51 @@ def test_urls_rules_and_reputation(spark):
     assert url_filters.allowed_pages(pages, labelled.limit(0), rules).columns == pages.columns
 
 
+def test_registered_domains(spark):
+    hosts = {
+        "a.b.example.com": ("example.com", "com"), "x.y.or.jp": ("y.or.jp", "or.jp"), "www.sat.gob.mx": ("sat.gob.mx", "gob.mx"), "me.github.io": ("me.github.io", "github.io"),
+        "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "u@h.co.uk:80": ("h.co.uk", "co.uk"), "localhost": ("localhost", "localhost"), "": ("", ""),
+    }
+    names = url_filters._names(F.col("h"))
+    got = {r.h: (r.domain, r.suffix) for r in spark.createDataFrame([(h,) for h in hosts], "h string").select("h", names["domain"].alias("domain"), names["suffix"].alias("suffix")).collect()}
+    assert got == hosts
+
+
+def test_posterior_tells_hosts_apart(spark):
+    labelled = spark.createDataFrame([(f"http://h{i % 20}.com/{i}", i % 20 < 5 or i % 50 == 7) for i in range(1000)], "url string, bad boolean")
+    pages = spark.createDataFrame([(i, f"http://h{i}.com/", "x") for i in range(20)], "page_id long, url string, verdict string")
+    got = {r.page_id: r.verdict for r in url_filters.judge_urls(pages, labelled, []).collect()}
+    assert got == {i: "block" if i < 5 else "allow" for i in range(20)}
+
+
 # classifiers
 
 
+def test_scans_of_odd_tables(spark, odd):
+    clash = odd.withColumns({c: F.lit("clash") for c in ("number", "value", "family", "probability", "key", "words", "host", "rule")})
+    forest = secret_scan.train(secret_scan.made_findings(spark, 400))
+    assert secret_scan.scan(clash, forest).columns == ["doc_id", "number", "value", "probability", "is_secret"]
+    assert secret_scan.scan(clash, forest).count() == 0
+    assert secret_scan.redact(clash, forest).columns == clash.columns
+    model = license_scan.train(license_scan.made_paragraphs(spark, 1500))
+    assert license_scan.scan(clash, model).where("confirmed").count() == 0
+    pages = clash.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), "host", "rule")
+    judged = url_filters.judge_urls(pages, pages.select("url", F.lit(True).alias("bad")), [("block", "com/"), ("allow", "org/")])
+    assert judged.count() == odd.count() and judged.where("host <> '' OR rule IS NOT NULL").count() == 0
+
+
+def test_pipeline_stages_on_odd_tables(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "one two three"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, str(tmp_path))
+        assert set(odd.columns) <= set(out.columns)
+        left[name] = out.count()
+    assert left == {"quality rules": 0, "line dedup": 11, "SimHash near-dedup": 7, "benchmark decontamination": 8, "BPE encoding and decoding": 11}
+
+
 def test_secret_forest_on_held_out_findings(spark):
     rows = secret_scan.made_findings(spark, 3000).withColumn("part", F.pmod(F.xxhash64("value"), F.lit(4)))
     model = secret_scan.train(rows.where("part > 0").drop("part"))
