@@ -27,7 +27,8 @@ def dbscan(points: DataFrame, eps: float, min_points: int, point_id: str, dims:
     moved, and no group is gathered in one task.
     """
     l_id, r_id = f"l_{point_id}", f"r_{point_id}"
-    pairs = eps_pairs(points, eps, point_id, dims)
+    # read three times below
+    pairs = checkpointed(eps_pairs(points, eps, point_id, dims))
     core = pairs.groupBy(F.col(l_id).alias("core")).agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select("core")
     of_left = pairs.join(core, pairs[l_id] == core["core"], "left_semi")
     edges = of_left.join(core.withColumnRenamed("core", "other"), F.col(r_id) == F.col("other"), "left_semi").where(f"{l_id} < {r_id}").select(F.col(l_id).alias("a"), F.col(r_id).alias("b"))

@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glintloom.operators.shared import small
+
 
 def roi(locs: DataFrame, x: tuple | None = None, y: tuple | None = None, frames: tuple | None = None) -> DataFrame:
     """Rows strictly inside the given ranges (None leaves one open)."""
@@ -77,7 +79,7 @@ def without_outliers(rows: DataFrame, residuals: list[str], k: float, keys: list
 
 def valid_frames(locs: DataFrame, z_table: DataFrame) -> DataFrame:
     """Rows of the frames that z_table (frame, valid, z) calls valid, with their stage z."""
-    return locs.join(F.broadcast(z_table.where("valid <> 0").select("frame", F.col("z").alias("stage_z"))), "frame")
+    return locs.join(small(z_table.where("valid <> 0").select("frame", F.col("z").alias("stage_z"))), "frame")
 
 
 def frequent(members: DataFrame, key: str, least: int) -> DataFrame:

@@ -12,6 +12,8 @@ from math import ceil, sqrt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glintloom.operators.shared import small
+
 from glintloom.operators.graph import connected_components
 
 Kernel = list[tuple[int, int, float]]
@@ -102,7 +104,7 @@ def channel_offset(a: DataFrame, b: DataFrame, max_lag: int, value: str = "value
 
 def rolling_background(image: DataFrame, frames: int, keys: list[str], value: str = "value", skip: DataFrame | None = None) -> DataFrame:
     """image with background: the mean of the pixel over the last `frames` frames up to this one. Frames in skip (frame), such as activation frames, do not count."""
-    rows = image if skip is None else image.join(F.broadcast(skip.select("frame", F.lit(True).alias("__skip"))), "frame", "left").withColumn("__skip", F.coalesce("__skip", F.lit(False)))
+    rows = image if skip is None else image.join(small(skip.select("frame", F.lit(True).alias("__skip"))), "frame", "left").withColumn("__skip", F.coalesce("__skip", F.lit(False)))
     counted = F.col(value) if skip is None else F.when(~F.col("__skip"), F.col(value))
     window = Window.partitionBy(*keys, "y", "x").orderBy("frame").rangeBetween(1 - frames, 0)
     return rows.withColumn("background", F.avg(counted).over(window)).select(*image.columns, "background")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glintloom.operators.shared import small
+
 
 def frame_range(locs: DataFrame, start: int, stop: int, fields: list[str] | None = None) -> DataFrame:
     """Rows with start <= frame < stop; fields prunes the columns that are read."""
@@ -16,7 +18,7 @@ def frame_range(locs: DataFrame, start: int, stop: int, fields: list[str] | None
 
 def drift_corrected(locs: DataFrame, frames: DataFrame, on: list[str] = ["frame"]) -> DataFrame:  # noqa: B006
     """x + dx, y + dy and z + dz (where there is a z); frames without attributes keep their coordinates."""
-    moved = locs.join(F.broadcast(frames.select(*on, "dx", "dy", "dz")), on, "left")
+    moved = locs.join(small(frames.select(*on, "dx", "dy", "dz")), on, "left")
     out = locs.columns
     shift = {"x": "dx", "y": "dy", "z": "dz"}
     return moved.select(*[(F.col(c) + F.coalesce(shift[c], F.lit(0.0))).alias(c) if c in shift else F.col(c) for c in out])
@@ -36,7 +38,7 @@ def calibrated(pixels: DataFrame, gain: float = 1.0, offset: float = 0.0) -> Dat
 
 def calibrated_scmos(pixels: DataFrame, calibration: DataFrame) -> DataFrame:
     """Photo-electrons of an sCMOS camera; calibration (y, x, offset, gain, rqe) has a row for each pixel of one sensor."""
-    joined = pixels.join(F.broadcast(calibration.select("y", "x", "offset", "gain", "rqe")), ["y", "x"])
+    joined = pixels.join(small(calibration.select("y", "x", "offset", "gain", "rqe")), ["y", "x"])
     value = (F.col("adu") - F.col("offset")) * (F.col("gain") * F.col("rqe"))
     return joined.select(*pixels.columns, F.greatest(value, F.lit(1.0)).alias("photons"))
 

@@ -1,15 +1,27 @@
-"""Checkpoints for operators that iterate."""
+"""Checkpoints for operators that iterate, and broadcasts of sides that were counted."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Narrow rows (a key and a few numbers) that may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder that the cluster names, so that its lineage ends there; a temporary folder where none is named, as in tests."""
+    """df written to the checkpoint folder that the cluster names, so that its lineage ends there; a local session without one, as in tests, gets a temporary folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="glintloom-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="glintloom-"))
     return df.checkpoint()
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if it is counted to have at most BROADCAST_ROWS rows; else as it is, to be joined after a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

@@ -653,9 +653,16 @@ def _(spark, sf):
     return estimation.fourier_ring(rows, "half", 64, 64, 1, 160.0, ["category"])
 
 
-@query("quad_hashes")
-def _(spark, sf):
-    return spatial.quads(pts(spark, sf), "vec_id", 0.1, 4.0, 5, ["category"])
+@query("quad_hashes", f"""WITH {PTS_SQL}, near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM pts a JOIN pts b ON a.category = b.category AND a.vec_id <> b.vec_id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) > 0.1 * 0.1 AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 16.0
+   QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2), b.vec_id) <= 5),
+ q AS (SELECT n.a, n.b, m.b AS c, o.b AS d FROM near n JOIN near m ON m.a = n.a AND m.b <> n.b JOIN near o ON o.a = n.a AND o.b <> n.b AND o.b <> m.b),
+ f AS (SELECT q.*, pc.x AS xc, pc.y AS yc, pd.x AS xd, pd.y AS yd, pa.x AS xa, pa.y AS ya, pb.x - pa.x AS ex, pb.y - pa.y AS ey FROM q JOIN pts pa ON pa.vec_id = a JOIN pts pb ON pb.vec_id = b JOIN pts pc ON pc.vec_id = c JOIN pts pd ON pd.vec_id = d),
+ i AS (SELECT *, ex * ex + ey * ey AS s FROM f WHERE pow(xc - xa - ex / 2, 2) + pow(yc - ya - ey / 2, 2) <= (ex * ex + ey * ey) / 4 AND pow(xd - xa - ex / 2, 2) + pow(yd - ya - ey / 2, 2) <= (ex * ex + ey * ey) / 4),
+ u AS (SELECT a, b, c, d, ((xc - xa) * ex + (yc - ya) * ey) / s AS uc, ((yc - ya) * ex - (xc - xa) * ey) / s AS vc, ((xd - xa) * ex + (yd - ya) * ey) / s AS ud, ((yd - ya) * ex - (xd - xa) * ey) / s AS vd FROM i)
+ SELECT a, b, c, d, round(uc - vc, 6) AS h_xc, round(uc + vc, 6) AS h_yc, round(ud - vd, 6) AS h_xd, round(ud + vd, 6) AS h_yd FROM u WHERE uc - vc <= ud - vd AND uc - vc + ud - vd <= 1""")
+def _(spark, sf):
+    found = spatial.quads(pts(spark, sf), "vec_id", 0.1, 4.0, 5, ["category"])
+    return found.select("a", "b", "c", "d", r("h_xc"), r("h_yc"), r("h_xd"), r("h_yd"))
 
 
 # images
