@@ -35,9 +35,13 @@ MAX_ROUNDS = 60
 REFINE_FROM = 64
 
 
-def within(max_bits: int) -> Callable[[Column, Column], Column]:
+#: What a test of two nodes reads: their columns by name.
+Fields = dict[str, Column]
+
+
+def within(max_bits: int) -> Callable[[Fields, Fields], Column]:
     """The test whether two signatures differ in at most max_bits bits."""
-    return lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= max_bits
+    return lambda a, b: F.bit_count(a["sig"].bitwiseXOR(b["sig"])) <= max_bits
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -79,14 +83,15 @@ def spread(nodes: DataFrame) -> DataFrame:
 
 def bucket_components(
     members: DataFrame,
-    near: Callable[[Column, Column], Column],
+    near: Callable[[Fields, Fields], Column],
     confirm: Callable[[DataFrame], DataFrame] | None = None,
     refine: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
-    """Components of the nodes of members (key, id, sig): (node, component) for nodes with links.
+    """Components of the nodes of members (key, id, sig and others): (node, component) for nodes with links.
 
-    Two nodes of a bucket may be linked if near(sig, sig) holds. confirm takes distinct
-    pairs (a, b) of ids and returns those that are linked; without it, all of these are.
+    Two nodes of a bucket may be linked if near holds for their columns other than key
+    and id; it is symmetric, and a conjunction of tests of one column each. confirm takes
+    distinct pairs (a, b) of ids and returns those that are linked; without it, all of these are.
     Buckets of two, most of which two strangers share by chance, are settled while
     buckets are counted and leave no row unless they may be linked. Members are moved by
     key once; counting and joining read the same shuffle. Members may repeat, but not
@@ -98,15 +103,19 @@ def bucket_components(
     share it, so that strangers in a crowded bucket are not compared with each other.
     """
     confirm = confirm or (lambda pairs: pairs)
+    fields = [c for c in members.columns if c not in ("key", "id")]
+    named = lambda suffix: {c: F.col(f"{c}_{suffix}") for c in fields}
+    renamed = lambda suffix: [F.col(c).alias(f"{c}_{suffix}") for c in fields]
+    own = {c: F.col(c) for c in fields}
     mix = F.xxhash64("key")
     dealt = members.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
-    drawn = dealt.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mix)).alias("least"), F.max(F.col("id").bitwiseXOR(mix)).alias("most"), F.min("sig").alias("low"), F.max("sig").alias("high"), F.count("*").alias("n"))
-    drawn = drawn.where((F.col("least") != F.col("most")) & ((F.col("n") > 2) | near(F.col("low"), F.col("high")))).drop("most", "low", "high")
-    shared = dealt.join(drawn.hint("shuffle_hash"), "key").select("key", "id", "sig", F.col("least").bitwiseXOR(mix).alias("head"), "n")
+    drawn = dealt.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mix)).alias("least"), F.max(F.col("id").bitwiseXOR(mix)).alias("most"), F.count("*").alias("n"), *[f(c).alias(f"{c}_{x}") for c in fields for f, x in ((F.min, "low"), (F.max, "high"))])
+    drawn = drawn.where((F.col("least") != F.col("most")) & ((F.col("n") > 2) | near(named("low"), named("high")))).select("key", "least", "n")
+    shared = dealt.join(drawn.hint("shuffle_hash"), "key").select("key", "id", *fields, F.col("least").bitwiseXOR(mix).alias("head"), "n")
     shared = materialise(shared.dropDuplicates(["key", "id"]))
-    wide = shared.where("n > 2").select("key", "id", "sig", "head", "n")
-    heads = wide.where("id = head").select("key", F.col("sig").alias("head_sig"))
-    tested = wide.where("id <> head").join(heads, "key").where(near(F.col("sig"), F.col("head_sig")))
+    wide = shared.where("n > 2").select("key", "id", *fields, "head", "n")
+    heads = wide.where("id = head").select("key", *renamed("head"))
+    tested = wide.where("id <> head").join(heads, "key").where(near(own, named("head")))
     twos = shared.where("n = 2 AND id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
     first = materialise(confirm(twos.unionByName(tested.select(F.col("id").alias("a"), F.col("head").alias("b"))).distinct()))
     groups = materialise(components(first))
@@ -115,7 +124,7 @@ def bucket_components(
     wide = join_sized(wide, groups.withColumnRenamed("node", "id"), ["id"], "left", n_groups)
     roots = groups.select(F.col("node").alias("head"), F.col("component").alias("head_component"))
     wide = join_sized(wide, roots, ["head"], "left", n_groups).select(
-        "key", "id", "sig", "head", "n", F.coalesce("component", "id").alias("component"), F.coalesce("head_component", "head").alias("head_component")
+        "key", "id", *fields, "head", "n", F.coalesce("component", "id").alias("component"), F.coalesce("head_component", "head").alias("head_component")
     )
     if refine is not None:
         finer = F.when(F.col("n") > REFINE_FROM, refine(F.col("key"), F.col("sig"))).otherwise(F.array(F.lit(-1).cast("long")))
@@ -123,11 +132,11 @@ def bucket_components(
     else:
         wide = wide.where("id <> head").withColumn("sub", F.lit(-1).cast("long"))
     wide = materialise(wide)
-    odd = wide.where("component <> head_component").select("key", "sub", F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("component").alias("component_a"), "head_component")
-    mates = wide.select("key", "sub", F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("component").alias("component_b"))
+    odd = wide.where("component <> head_component").select("key", "sub", F.col("id").alias("a"), *renamed("a"), F.col("component").alias("component_a"), "head_component")
+    mates = wide.select("key", "sub", F.col("id").alias("b"), *renamed("b"), F.col("component").alias("component_b"))
     # of two odd members one order is enough
     new = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("head_component")) | (F.col("a") < F.col("b")))
-    more = odd.join(mates, (odd["key"] == mates["key"]) & (odd["sub"] == mates["sub"]) & new & near(F.col("sig_a"), F.col("sig_b"))).select("a", "b").distinct()
+    more = odd.join(mates, (odd["key"] == mates["key"]) & (odd["sub"] == mates["sub"]) & new & near(named("a"), named("b"))).select("a", "b").distinct()
     more = materialise(confirm(more))
     if more.isEmpty():
         return groups
