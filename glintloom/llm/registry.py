@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintloom.llm import decontamination, license_scan, line_dedup, near_duplicates, prefix_counts, quality_rules, secret_scan, sharding, token_automaton, url_filters
+from glintloom.llm import decontamination, language_id, license_scan, line_dedup, near_duplicates, prefix_counts, quality_rules, secret_scan, sharding, text_runs, token_automaton, url_filters, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,18 @@ def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_runs.digests(text_runs.find_runs(_table(spark, sf_dir, "documents"), planted=True))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predictions(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -88,6 +100,9 @@ def queries() -> dict[str, Query]:
         "op8_license_classifier": op8_license_classifier,
         "op9_line_frequency_rules": op9_line_frequency_rules,
         "op10_stratified_shards": op10_stratified_shards,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_embedding_whitening": op12_embedding_whitening,
+        "op13_language_filters": op13_language_filters,
     }
 
 
