@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,17 +12,30 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder that the cluster names, so that its lineage ends there; a local session without one, as in tests, gets a temporary folder."""
+def _shared_folder(df: DataFrame) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a local session without one, as in tests, gets a temporary folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="glintloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder, so that its lineage ends there."""
+    _shared_folder(df)
     return df.checkpoint()
 
 
+def written(df: DataFrame, by: list[str]) -> DataFrame:
+    """df written as Parquet beside the checkpoints, in a folder for each value of the columns `by`, so that a filter on them reads no more than it needs."""
+    path = f"{_shared_folder(df).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame) -> DataFrame:
     """df marked for broadcast if it is counted to have at most BROADCAST_ROWS rows; else as it is, to be joined after a shuffle."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

@@ -120,11 +120,12 @@ def quads(points: DataFrame, point_id: str, min_size: float, max_size: float, ne
     B, C and D are among the nearest neighbours of A that agree with it in keys. Of the two orders of C and D, and
     of A and B, the one with xc <= xd and xc + xd <= 1 is kept.
     """
-    near = k_nearest(points, neighbours, max_size, point_id, keys, min_distance=min_size).select(F.col(f"l_{point_id}").alias("a"), F.col(f"r_{point_id}").alias("b"))
-    place = lambda n: points.select(F.col(point_id).alias(n), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
-    abcd = near.join(near.withColumnRenamed("b", "c"), "a").where("b <> c").join(near.withColumnRenamed("b", "d"), "a").where("d <> b AND d <> c")
+    keys = list(keys)
+    near = k_nearest(points, neighbours, max_size, point_id, keys, min_distance=min_size).select(*keys, F.col(f"l_{point_id}").alias("a"), F.col(f"r_{point_id}").alias("b"))
+    place = lambda n: points.select(*keys, F.col(point_id).alias(n), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
+    abcd = near.join(near.withColumnRenamed("b", "c"), [*keys, "a"]).where("b <> c").join(near.withColumnRenamed("b", "d"), [*keys, "a"]).where("d <> b AND d <> c")
     for n in "abcd":
-        abcd = abcd.join(place(n), n)
+        abcd = abcd.join(place(n), [*keys, n])
     inside = " AND ".join(f"pow(x{n} - (xa + xb) / 2, 2) + pow(y{n} - (ya + yb) / 2, 2) <= (pow(xb - xa, 2) + pow(yb - ya, 2)) / 4" for n in "cd")
     framed = abcd.where(inside)
     # rotated by 45 degrees and scaled so that A is (0, 0) and B is (1, 1)
@@ -132,19 +133,19 @@ def quads(points: DataFrame, point_id: str, min_size: float, max_size: float, ne
         u = F.expr(f"((x{n} - xa) * (xb - xa) + (y{n} - ya) * (yb - ya)) / (pow(xb - xa, 2) + pow(yb - ya, 2))")
         v = F.expr(f"((y{n} - ya) * (xb - xa) - (x{n} - xa) * (yb - ya)) / (pow(xb - xa, 2) + pow(yb - ya, 2))")
         framed = framed.withColumns({f"h_x{n}": u - v, f"h_y{n}": u + v})
-    return framed.where("h_xc <= h_xd AND h_xc + h_xd <= 1").select("a", "b", "c", "d", "h_xc", "h_yc", "h_xd", "h_yd")
+    return framed.where("h_xc <= h_xd AND h_xc + h_xd <= 1").select(*keys, "a", "b", "c", "d", "h_xc", "h_yc", "h_xd", "h_yd")
 
 
-def quad_matches(first: DataFrame, second: DataFrame, tolerance: float) -> DataFrame:
-    """Pairs of quads whose hashes differ by less than tolerance in every number: (a1 .. d1, a2 .. d2)."""
+def quad_matches(first: DataFrame, second: DataFrame, tolerance: float, keys: list[str] = ()) -> DataFrame:  # type: ignore[assignment]
+    """Pairs of quads of the same keys whose hashes differ by less than tolerance in every number: (keys, a1 .. d1, a2 .. d2)."""
     dims = ("h_xc", "h_yc", "h_xd", "h_yd")
     near = F.array(*[F.lit(k) for k in (-1, 0, 1)])
     cell = lambda c: F.floor(F.col(c) / tolerance)
-    one = first.select(*[F.col(c).alias(f"{c}1") for c in "abcd"], *[F.col(d).alias(f"{d}1") for d in dims], F.explode(F.transform(near, lambda k: cell(dims[0]) + k)).alias("__p"), cell(dims[1]).alias("__q0"))
+    one = first.select(*keys, *[F.col(c).alias(f"{c}1") for c in "abcd"], *[F.col(d).alias(f"{d}1") for d in dims], F.explode(F.transform(near, lambda k: cell(dims[0]) + k)).alias("__p"), cell(dims[1]).alias("__q0"))
     one = one.withColumn("__q", F.explode(F.transform(near, lambda k: F.col("__q0") + k))).drop("__q0")
-    two = second.select(*[F.col(c).alias(f"{c}2") for c in "abcd"], *[F.col(d).alias(f"{d}2") for d in dims], cell(dims[0]).alias("__p"), cell(dims[1]).alias("__q"))
+    two = second.select(*keys, *[F.col(c).alias(f"{c}2") for c in "abcd"], *[F.col(d).alias(f"{d}2") for d in dims], cell(dims[0]).alias("__p"), cell(dims[1]).alias("__q"))
     close = " AND ".join(f"abs({d}1 - {d}2) < {tolerance!r}" for d in dims)
-    return one.join(two, ["__p", "__q"]).where(close).select(*[f"{c}{n}" for n in (1, 2) for c in "abcd"])
+    return one.join(two, [*keys, "__p", "__q"]).where(close).select(*keys, *[f"{c}{n}" for n in (1, 2) for c in "abcd"])
 
 
 def control_points(first: DataFrame, second: DataFrame, cx: tuple, cy: tuple, max_distance: float, first_id: str, second_id: str) -> DataFrame:
