@@ -80,6 +80,17 @@ class TrackState:
         return out
 
 
+def follow(fx: np.ndarray, fy: np.ndarray, age: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray, radius: float) -> np.ndarray:
+    """Moves each fiducial to the nearest localization within radius, where its age starts anew, and gives the fiducial of each localization, else -1; of two that take the same one the later is written."""
+    out = np.full(len(x), -1, dtype=np.int64)
+    hit = _nearest(fx, fy, x, y, radius)
+    took = np.flatnonzero(hit >= 0)
+    fx[took], fy[took], age[took] = x[hit[took]], y[hit[took]], 0
+    for k in took:
+        out[hit[k]] = ids[k]
+    return out
+
+
 def _tracked(pdf: pd.DataFrame, radius: float, max_gap: int, descriptor: str, frames: np.ndarray) -> pd.DataFrame:
     pdf = pdf.sort_values(["frame", "loc_id"], kind="stable").reset_index(drop=True)
     weight = 1.0 + np.sqrt(pdf["sum"].to_numpy(float)) if "sum" in pdf else np.ones(len(pdf))
@@ -136,10 +147,7 @@ def fiducials(locs: DataFrame, radius: float, max_gap: int, reference_frame: int
         for f in range(int(at.min()), int(at.max()) + 1) if len(at) else ():
             a, b = np.searchsorted(at, f, side="left"), np.searchsorted(at, f, side="right")
             age += 1
-            hit = _nearest(fx, fy, x[a:b], y[a:b], radius)
-            for k in np.nonzero(hit >= 0)[0]:
-                fx[k], fy[k], age[k] = x[a + hit[k]], y[a + hit[k]], 0
-                out[a + hit[k]] = ids[k]
+            out[a:b] = follow(fx, fy, age, ids, x[a:b], y[a:b], radius)
             alive = age <= max_gap
             fx, fy, ids, age = fx[alive], fy[alive], ids[alive], age[alive]
         return pdf.assign(fiducial_id=out)
