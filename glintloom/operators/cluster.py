@@ -44,14 +44,20 @@ def dbscan(points: DataFrame, eps: float, min_points: int, point_id: str, dims:
     return out.withColumn("label", F.coalesce("own", "claim", F.lit(NOISE)).cast("int")).drop("own", "claim")
 
 
-def _numbered(roots: DataFrame) -> DataFrame:
-    """(component, label): roots numbered from 2 on in order, by counts of the ranges before instead of one sorted task."""
-    ranged = roots.repartitionByRange(max(1, int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "component").withColumn("__part", F.spark_partition_id()).sortWithinPartitions("component")
+def numbered_rows(rows: DataFrame, order: list[str], name: str, first: int = 0) -> DataFrame:
+    """rows with their number in order, from `first` on: by counts of the ranges before instead of one sorted task."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).sortWithinPartitions(*order)
     ranged = checkpointed(ranged.withColumn("__pos", F.monotonically_increasing_id()))
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("n"), F.min("__pos").alias("start"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__pos").alias("__start"))
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     joined = ranged.join(F.broadcast(before), "__part")
-    return joined.select("component", (F.col("before") + F.col("__pos") - F.col("start") + FIRST_CLUSTER).cast("int").alias("label"))
+    return joined.select(*rows.columns, (F.col("__before") + F.col("__pos") - F.col("__start") + first).alias(name))
+
+
+def _numbered(roots: DataFrame) -> DataFrame:
+    """(component, label): roots numbered from 2 on in order."""
+    return numbered_rows(roots, ["component"], "label", FIRST_CLUSTER).withColumn("label", F.col("label").cast("int"))
 
 
 def renumbered(labels: DataFrame, label: str = "label") -> DataFrame:

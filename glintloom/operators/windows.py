@@ -31,23 +31,24 @@ def interpolated(knots: DataFrame, length: int, fields: list[str], time: str = "
 
 
 def filled(series: DataFrame, length: int, field: str, key: str) -> DataFrame:
-    """(key, frame, field) for all frames 0 .. length - 1 of every key: missing values linear between neighbours, and along the nearest two beyond the ends."""
-    keys = series.select(key).distinct()
-    grid = keys.select(key, F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("frame"))
-    rows = grid.join(series.select(key, "frame", F.col(field).alias("v")), [key, "frame"], "left")
-    here = F.when(F.col("v").isNotNull(), F.struct("frame", "v"))
-    order = Window.partitionBy(key).orderBy("frame")
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    known = rows.withColumns({"p": F.last(here, True).over(back), "n": F.first(here, True).over(ahead)})
-    ends = series.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("frame", F.col(field).alias("v")))).alias("all"))
-    ends = ends.select(key, F.get("all", F.lit(0)).alias("f0"), F.get("all", F.lit(1)).alias("f1"), F.get("all", F.size("all") - 2).alias("l0"), F.get("all", F.size("all") - 1).alias("l1"))
-    both = known.join(ends, key)
-
-    def line(a: str, b: str):
-        return F.col(f"{a}.v") + (F.col("frame") - F.col(f"{a}.frame")) * (F.col(f"{b}.v") - F.col(f"{a}.v")) / (F.col(f"{b}.frame") - F.col(f"{a}.frame"))
+    """(key, frame, field) for all frames 0 .. length - 1 of every key: missing values linear between neighbours, and along the nearest two beyond the ends.
 
-    value = F.when(F.col("v").isNotNull(), F.col("v")).when(F.col("p").isNull(), line("f0", "f1")).when(F.col("n").isNull(), line("l0", "l1")).otherwise(line("p", "n"))
-    return both.select(key, "frame", value.alias(field))
+    Each known value gives the frames up to the next one, the first also those before it
+    and the last but one those to the end, so the work is one sort of the known values
+    and one row for each result. A key with a single value has nulls in other frames; a
+    key without values has no rows.
+    """
+    order = Window.partitionBy(key).orderBy("frame")
+    known = series.where(F.col(field).isNotNull()).select(key, "frame", F.col(field).alias("v"))
+    here = known.withColumns({"f2": F.lead("frame").over(order), "v2": F.lead("v").over(order), "f3": F.lead("frame", 2).over(order), "first": F.lag("frame").over(order).isNull()})
+    alone = F.col("f2").isNull() & F.col("first")
+    here = here.where(F.col("f2").isNotNull() | alone)
+    start = F.when(F.col("first"), F.lit(0)).otherwise(F.greatest("frame", F.lit(0)))
+    stop = F.when(F.col("f3").isNull(), F.lit(length)).otherwise(F.least("f2", F.lit(length)))
+    spans = here.withColumns({"__start": start.cast("int"), "__stop": stop.cast("int")}).where("__start < __stop")
+    each = spans.withColumn("at", F.explode(F.sequence("__start", F.col("__stop") - 1)))
+    value = F.when(F.col("at") == F.col("frame"), F.col("v")).otherwise(F.col("v") + (F.col("at") - F.col("frame")) * (F.col("v2") - F.col("v")) / (F.col("f2") - F.col("frame")))
+    return each.select(key, F.col("at").alias("frame"), value.alias(field))
 
 
 def sliding_background(pixels: DataFrame, half: int, keys: list[str], value: str = "adu") -> DataFrame:

@@ -1,11 +1,11 @@
-"""Registered queries of tessellation, drift against a growing master and maps between lists of points, with their SQL twins."""
+"""Registered queries of tessellation, drift against a growing master, maps between lists of points, chained transforms and wavelets, with their SQL twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glintloom.operators import master_drift, micrometry, tessellation
-from glintloom.plans.catalog import query, r
+from glintloom.operators import alignment, chained, master_drift, micrometry, tessellation, wavelet
+from glintloom.plans.catalog import IMAGE_SQL, query, r, summed
 from glintloom.sources.views import LOCS_SQL, PTS_SQL, locs, pts
 
 #: A side is what is left of the bisector of two points after all third points have cut it; its triangle adds to the area of the cell.
@@ -101,3 +101,44 @@ def _(spark, sf):
     # the map itself at the image of the origin, where an exact map gives zero
     at = lambda c: F.round(F.col(f"{c}0") + 300 * F.col(f"{c}x") + 200 * F.col(f"{c}y"), 4) + F.lit(0.0)
     return found.select("category", "n", at("x").alias("x0"), at("y").alias("y0"))
+
+
+# a transform of each frame to the one before, from what is in it: a small turn with a stretch, and a shift
+_STEPS_SQL = f"{LOCS_SQL}, t AS (SELECT frame, 1 + count(*) / 100000.0 AS c, avg(x) / 100000 AS s, avg(y) / 1000 AS u FROM locs WHERE frame > 0 AND frame < 720 GROUP BY frame)"
+
+
+@query("chained_transforms", f"""WITH RECURSIVE {_STEPS_SQL}, every AS (SELECT CAST(f AS INTEGER) AS frame, coalesce(c, 1) AS c, coalesce(s, 0) AS s, coalesce(u, 0) AS u FROM range(1, 720) r(f) LEFT JOIN t ON frame = f),
+ run AS (SELECT 0 AS frame, 1::DOUBLE AS m00, 0::DOUBLE AS m01, 0::DOUBLE AS m10, 1::DOUBLE AS m11, 0::DOUBLE AS m20, 0::DOUBLE AS m21
+   UNION ALL SELECT e.frame, c * m00 - s * m10, c * m01 - s * m11, s * m00 + c * m10, s * m01 + c * m11, u * m00 + m20, u * m01 + m21 FROM run JOIN every e ON e.frame = run.frame + 1)
+ SELECT frame, round(m00, 6) AS m00, round(m01, 6) AS m01, round(m10, 6) AS m10, round(m11, 6) AS m11, round(m20, 4) + CAST(0 AS DOUBLE) AS m20, round(m21, 4) + CAST(0 AS DOUBLE) AS m21 FROM run""")
+def _(spark, sf):
+    rows = locs(spark, sf).where("frame > 0 AND frame < 720").groupBy("frame").agg((1 + F.count("*") / 100000).alias("c"), (F.avg("x") / 100000).alias("s"), (F.avg("y") / 1000).alias("u"))
+    steps = rows.select("frame", F.col("c").alias("m00"), (-F.col("s")).alias("m01"), F.col("s").alias("m10"), F.col("c").alias("m11"), F.col("u").alias("m20"), F.lit(0.0).alias("m21"))
+    return chained.to_target(steps, 0, 720).select("frame", r("m00"), r("m01"), r("m10"), r("m11"), (F.round("m20", 4) + 0.0).alias("m20"), (F.round("m21", 4) + 0.0).alias("m21"))
+
+
+@query("aligned_union")
+def _(spark, sf):
+    points = pts(spark, sf).select("vec_id", (32 + 2 * F.col("x")).alias("x"), (32 + 2 * F.col("y")).alias("y"), F.col("z").alias("z"))
+    moved = points.withColumns({"x": F.col("x") + 1.5, "y": F.col("y") - 0.75, "z": F.col("z") + 0.1})
+    return alignment.aligned_union(points, moved, alignment.track_offset(points, moved, 64, 64, 2))
+
+
+def _matrix_sql(name: str, column: str, length: int) -> str:
+    m = wavelet.smoothing_matrix(length, 1)
+    return f"{name}({column}, t, w) AS (VALUES " + ", ".join(f"({j}, {i}, {float(m[i, j])!r}::DOUBLE)" for i in range(length) for j in range(length) if abs(m[i, j]) > 1e-15) + ")"
+
+
+def _image(spark, sf):
+    # every pixel of 16 x 16 in each frame, 0 where there is none
+    grid = spark.range(7 * 256).select((F.floor(F.col("id") / 256) + 1).cast("int").alias("frame"), (F.floor(F.col("id") / 16) % 16).cast("int").alias("y"), (F.col("id") % 16).cast("int").alias("x"))
+    return grid.join(summed(spark, sf), ["frame", "y", "x"], "left").select("frame", "y", "x", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+_IMAGE_SQL = f"{IMAGE_SQL}, whole AS (SELECT CAST(f AS INTEGER) AS frame, CAST(r AS INTEGER) AS y, CAST(c AS INTEGER) AS x, coalesce(value, 0) AS value FROM range(1, 8) a(f), range(16) b(r), range(16) d(c) LEFT JOIN img ON img.frame = f AND img.y = r AND img.x = c)"
+
+
+@query("wavelet_background", f"WITH {_IMAGE_SQL}, {_matrix_sql('mx', 'x', 16)}, {_matrix_sql('my', 'y', 16)}, h AS (SELECT frame, y, mx.t AS x, sum(value * w) AS v FROM whole JOIN mx USING (x) GROUP BY ALL) SELECT frame, my.t AS y, x, round(sum(v * w), 4) + CAST(0 AS DOUBLE) AS background FROM h JOIN my USING (y) GROUP BY frame, my.t, x")
+def _(spark, sf):
+    found = wavelet.wavelet_background(_image(spark, sf), 16, 16, 1, 10.0, 1, ["frame"])
+    return found.select("frame", "y", "x", (F.round("background", 4) + 0.0).alias("background"))
