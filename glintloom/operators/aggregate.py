@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glintloom.functions.columns import grid_index, render_index
+from glintloom.operators.quantile import exact_quantile
+from glintloom.operators.shared import small
 from glintloom.operators.spatial import nearest_within
 
 
@@ -167,14 +169,14 @@ def lag_correlation(first: DataFrame, second: DataFrame, bins: int, keys: list[s
 
 def gated(rows: DataFrame, column: str, percentile: float, keys: list[str], limit_category: int = 9) -> DataFrame:
     """rows with category 9 where column is over its percentile of the keys (linear between values)."""
-    cut = rows.groupBy(*keys).agg(F.percentile(column, percentile).alias("__cut"))
+    cut = small(exact_quantile(rows, column, percentile, keys).withColumnRenamed("value", "__cut"))
     return rows.join(cut, keys).withColumn("category", F.when(F.col(column) > F.col("__cut"), F.lit(limit_category)).otherwise(F.col("category"))).drop("__cut")
 
 
 def above_median(rows: DataFrame, column: str, factor: float, keys: list[str] = ()) -> DataFrame:  # type: ignore[assignment]
     """rows whose column is over factor times its exact median."""
-    cut = rows.groupBy(*keys).agg(F.percentile(column, 0.5).alias("__cut"))
-    joined = rows.join(cut, list(keys)) if keys else rows.join(F.broadcast(cut))
+    cut = exact_quantile(rows, column, 0.5, keys).withColumnRenamed("value", "__cut")
+    joined = rows.join(small(cut), list(keys)) if keys else rows.join(F.broadcast(cut))
     return joined.where(F.col(column) > factor * F.col("__cut")).drop("__cut")
 
 

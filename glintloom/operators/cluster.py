@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glintloom.operators.graph import connected_components
+from glintloom.operators.quantile import exact_quantile
 from glintloom.operators.shared import checkpointed
 from glintloom.operators.spatial import pairs_within
 
@@ -73,7 +74,7 @@ def neighbour_clusters(densities: DataFrame, edges: DataFrame, factor: float, le
     densities has node and density; edges has a and b (ridges of a tessellation). Ids are
     numbered from 1 in the order of the smallest node.
     """
-    median = densities.agg(F.percentile("density", 0.5).alias("median"))
+    median = exact_quantile(densities, "density", 0.5).withColumnRenamed("value", "median")
     dense = densities.join(F.broadcast(median)).where(F.col("density") > factor * F.col("median")).select("node")
     inner = edges.join(dense, edges["a"] == dense["node"], "left_semi").join(dense, F.col("b") == dense["node"], "left_semi")
     found = connected_components(inner)

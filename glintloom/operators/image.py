@@ -60,13 +60,10 @@ def labelled_regions(image: DataFrame, threshold: float, keys: list[str], value:
     """
     bright = image.where(F.col(value) > threshold).select(*keys, "y", "x", F.col(value).alias("value"))
     bright = bright.withColumn("node", F.struct(*keys, "y", "x"))
-    forward = [(0, 1, 1.0), (1, -1, 1.0), (1, 0, 1.0), (1, 1, 1.0)]
-    near = _moved(bright, forward, keys, "value").join(bright.select(*keys, "y", "x", "node"), [*keys, "y", "x"]).select(*keys, "y", "x", F.col("node").alias("b"), "weight")
-    # the pixel that was moved here is found again from the four places it may have come from
-    source = bright.select(F.col("node").alias("a"), *keys, "y", "x")
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx, _ in forward])
-    reached = source.select("a", *keys, "y", "x", F.explode(steps).alias("s")).select("a", *keys, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
-    edges = reached.join(near.select(*keys, "y", "x", "b").distinct(), [*keys, "y", "x"]).select("a", "b")
+    forward = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    moved = bright.select(*keys, "y", "x", F.col("node").alias("a"), F.explode(forward).alias("s"))
+    moved = moved.select(*keys, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "a")
+    edges = moved.join(bright.select(*keys, "y", "x", F.col("node").alias("b")), [*keys, "y", "x"]).select("a", "b")
     groups = connected_components(edges)
     marked = bright.join(groups, "node", "left").withColumn("first", F.coalesce("component", "node"))
     v = F.col("value")
