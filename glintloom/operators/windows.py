@@ -51,10 +51,24 @@ def filled(series: DataFrame, length: int, field: str, key: str) -> DataFrame:
     return each.select(key, F.col("at").alias("frame"), value.alias(field))
 
 
-def sliding_background(pixels: DataFrame, half: int, keys: list[str], value: str = "adu") -> DataFrame:
-    """pixels with background: mean of the frames at most half before and after, fewer at the ends."""
-    w = Window.partitionBy(*keys).orderBy("frame").rowsBetween(-half, half)
-    return pixels.withColumn("background", F.avg(value).over(w))
+def sliding_background(pixels: DataFrame, half: int, keys: list[str], value: str = "adu", descriptor: str | None = None) -> DataFrame:
+    """pixels with background: mean of the frames at most half before and after, fewer at the ends.
+
+    With a descriptor, which is repeated over the frames, activation frames (those with
+    0) count for no background: the others take their neighbours from among themselves,
+    and an activation frame gets the mean of the nearest such frames, half on each side.
+    """
+    if descriptor is None:
+        w = Window.partitionBy(*keys).orderBy("frame").rowsBetween(-half, half)
+        return pixels.withColumn("background", F.avg(value).over(w))
+    kinds = F.array(*[F.lit(c != "0") for c in descriptor])
+    counts = kinds[(F.col("frame") % len(descriptor)).cast("int")]
+    # the place of a frame among those that count; an activation frame stands between two of them
+    order = Window.partitionBy(*keys).orderBy("frame")
+    placed = pixels.withColumn("__counts", counts).withColumn("__place", F.sum(F.when(F.col("__counts"), 2).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.when(F.col("__counts"), 0).otherwise(1))
+    near = Window.partitionBy(*keys).orderBy("__place").rangeBetween(-2 * half, 2 * half)
+    mean = F.avg(F.when(F.col("__counts"), F.col(value))).over(near)
+    return placed.withColumn("background", mean).select(*pixels.columns, "background")
 
 
 def sessions(locs: DataFrame, keys: list[str], max_gap: int) -> DataFrame:

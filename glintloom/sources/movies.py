@@ -80,7 +80,13 @@ def tiff_frames(data: bytes) -> Iterator[np.ndarray]:
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Frames of all movies below path, by extension; others are left out. Pixels are packed 32-bit integers."""
+    """Frames of all movies below path, by extension. Pixels are packed 32-bit integers.
+
+    In a folder other files are left out; a path that names one file of an unknown kind is refused.
+    """
+    last = path.rstrip("/").rsplit("/", 1)[-1].lower()
+    if re.fullmatch(r"[^*?{\[]+\.[a-z]\w*", last) and not last.endswith(EXTENSIONS):
+        raise ValueError(f"movies of this kind are not known: {path}")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     name = F.lower("path")
     stem = F.regexp_replace("path", r"\.[^./]*$", "")

@@ -141,3 +141,19 @@ def test_filled_series(spark):
     assert np.allclose(got[1], [0, 1 / 3, 2 / 3, 1, 4 / 3, 5 / 3, 2, 2, 2, 2, 5 / 3, 4 / 3, 1, 2 / 3, 1 / 3, 0])
     assert got[2] == [5.0 + k for k in range(16)] and got[3] == [None] * 4 + [7.0] + [None] * 11
     assert 4 not in got and np.allclose(got[5], np.arange(16) + 2)
+
+
+def test_background_without_activation_frames(spark):
+    values = [100.0, 1.0, 2.0, 100.0, 3.0, 4.0, 100.0, 5.0, 6.0]
+    rows = [(k, f, v) for k in (0, 1) for f, v in enumerate(values)]
+    got = windows.sliding_background(spark.createDataFrame(rows, "p int, frame int, adu double"), 1, ["p"], descriptor="011").where("p = 1").orderBy("frame").collect()
+    assert [r.background for r in got] == [1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 4.5, 5.0, 5.5]
+
+
+def test_unknown_movies_are_refused(spark, tmp_path):
+    from glintloom.sources import movies
+
+    (tmp_path / "a.xyz").write_bytes(b"1")
+    with pytest.raises(ValueError, match="not known"):
+        movies.read_frames(spark, str(tmp_path / "a.xyz"))
+    assert movies.read_frames(spark, str(tmp_path)).count() == 0

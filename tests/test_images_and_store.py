@@ -60,6 +60,22 @@ def test_store_of_localizations_and_tracks(spark, tmp_path):
     assert first.agg(F.max("frame_number")).first()[0] <= second.agg(F.min("frame_number")).first()[0]
 
 
+def test_channels_of_a_store_are_wide_rows(spark, tmp_path):
+    path = str(tmp_path / "locs")
+    rows = spark.range(10).select((F.col("id") % 3 * 900).cast("int").alias("frame"), F.col("id").alias("loc_id"), F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y"))
+    store.write_localizations(rows, path, channel=0)
+    store.write_localizations(rows.where("loc_id < 8").withColumn("x", F.col("x") + 100), path, channel=1)
+    assert store.channels(spark, path) == [0, 1]
+    got = {r.loc_id: r for r in store.read_localizations(spark, path).collect()}
+    assert len(got) == 10 and set(got[0].asDict()) == {"frame", "loc_id", "x", "y", "c1_x", "c1_y"}
+    assert all(got[k].x == k and got[k].c1_x == (k + 100 if k < 8 else None) for k in range(10))
+    store.write_localizations(rows.withColumns({"frame": F.lit(5000), "height": F.lit(2.0)}), path)  # an append with a new field
+    assert store.read_localizations(spark, path).count() == 20
+    assert {(r.c1_x, r.height) for r in store.read_localizations(spark, path, 5000, 5001).collect()} == {(None, 2.0)}
+    with pytest.raises(ValueError, match="no localizations"):
+        store.read_localizations(spark, str(tmp_path))
+
+
 def test_sessions_of_a_stream(spark, tmp_path):
     rows = [(f, c) for c, frames in ((1, (0, 1, 2, 9, 10)), (2, (4,))) for f in frames] + [(500, 3)]
     spark.createDataFrame(rows, "frame int, category int").coalesce(1).write.parquet(str(tmp_path / "in"))
