@@ -252,9 +252,16 @@ def _word_bound(a: list[str], b: list[str], most: int) -> int:
     i = j = cost = 0
     while i < len(a) and j < len(b) and cost <= most:
         if a[i] == b[j]:
-            i, j = i + 1, j + 1
+            n = 8 if a[i : i + 8] == b[j : j + 8] else 1
+            i, j = i + n, j + n
             continue
-        p, q = next(((p, q) for p, q in _SKIPS if a[i + p : i + p + 2] == b[j + q : j + q + 2]), (1, 1))
+        p = q = 1
+        if not set(a[i : i + 7]).isdisjoint(b[j : j + 7]):
+            for p, q in _SKIPS:
+                if a[i + p : i + p + 2] == b[j + q : j + q + 2]:
+                    break
+            else:
+                p = q = 1
         cost += max(size(a[i : i + p]), size(b[j : j + q]))
         i, j = i + p, j + q
     return cost + max(size(a[i:]), size(b[j:]))
@@ -269,32 +276,52 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     places: dict[str, int] = {}
     for k, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << k
-    full, last = (1 << len(a)) - 1, 1 << len(a) - 1
-    up, down, distance = full, 0, len(a)
-    # every column left can take at most one off
-    highest = (len(b) if most is None else most) + len(b)
+    full = (1 << len(a)) - 1
+    up, down = full, 0
+    # values along the diagonal that ends in the last cell never fall: each step adds one where the bit of `level` is not set
+    distance = len(b) - len(a)
+    most = len(b) if most is None else most
+    get, row = places.get, -distance
     for c in b:
-        highest -= 1
-        same = places.get(c, 0)
+        same = get(c, 0)
         level = (((same & up) + up) ^ up) | same | down
-        right, left = down | ~(level | up), level & up
-        distance += bool(right & last) - bool(left & last)
-        if distance > highest:
-            return distance
-        right, left = right << 1 | 1, left << 1
+        if row >= 0 and not level >> row & 1:
+            distance += 1
+            if distance > most:
+                return distance
+        row += 1
+        right, left = (down | ~(level | up)) << 1 | 1, (level & up) << 1
         up, down = (left | ~(level | right)) & full, right & level & full
     return distance
 
 
+def _common(a: str, b: str) -> int:
+    """Characters with which both begin."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
+    return low
+
+
 def similar(a: str, b: str) -> bool:
     """Whether a and b differ by at most 1 - MIN_SIMILARITY of the longer one's characters in edit distance.
 
-    Most candidates are alike but for a few words, which one look at the words shows;
-    only for the others the distance is computed.
+    What both begin and end with adds nothing. Most candidates are alike but for a few
+    words, which one look at the words shows; only for the others the distance of what
+    is left is computed.
     """
     most = int(max(len(a), len(b)) * round(1 - MIN_SIMILARITY, 6) + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
+    start = _common(a, b)
+    a, b = a[start:], b[start:]
+    end = _common(a[::-1], b[::-1])
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    if max(len(a), len(b)) <= most:
+        return True
+    if a.count(" ") == b.count(" ") and sum([max(len(x), len(y)) for x, y in zip(a.split(" "), b.split(" "), strict=True) if x != y]) <= most:
+        return True
     return _word_bound(a.split(" "), b.split(" "), most) <= most or edit_distance(a, b, most) <= most
 
 

@@ -65,10 +65,28 @@ def assign_shards(docs: DataFrame, shards: int = 24, seed: int = 0, stratum: str
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, seed: int = 0, stratum: str = "source") -> None:
-    """Writes docs as Parquet with a folder shard=N for each shard, rows of a file in slot order. Needs doc_ids that tell rows apart."""
-    placed = assign_shards(docs, shards, seed, stratum).select(F.col("doc_id").alias("__id"), "shard", "slot")
-    kept = docs.drop("shard", "slot")
-    joined = kept.join(placed, kept["doc_id"] == F.col("__id")).drop("__id")
+    """Writes docs as Parquet with a folder shard=N for each shard, rows of a file in slot order.
+
+    Every row is written once: null doc_ids are ids like others, and rows with equal
+    doc_id, text and stratum share their places among themselves. Null and empty texts
+    are placed by their size as assign_shards says. Columns named shard or slot are
+    replaced, all others are carried along; an empty table writes no shard.
+    """
+    alike = ["__id", "__crc", "__size", "__stratum"]
+    nth = F.row_number().over(Window.partitionBy(*alike).orderBy("__order"))
+    placed = assign_shards(docs, shards, seed, stratum)
+    placed = placed.select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), F.col("size").alias("__size"), F.col("stratum").alias("__stratum"), "shard", "slot", F.struct("shard", "slot").alias("__order"))
+    placed = placed.withColumn("__nth", nth).drop("__order")
+    text = F.coalesce("text", F.lit(""))
+    kept = docs.drop("shard", "slot").withColumns({
+        "__id": F.col("doc_id"), "__crc": F.crc32(text.cast("binary")), "__size": (F.octet_length(text) + F.lit(8)).cast("long"),
+        "__stratum": F.concat(F.when(F.col(stratum).isNull(), "n").otherwise("s"), F.coalesce(F.col(stratum).cast("string"), F.lit(""))), "__order": F.monotonically_increasing_id(),
+    })
+    kept = kept.withColumn("__nth", nth).drop("__order")
+    same = kept["__id"].eqNullSafe(placed["__id"])
+    for c in ("__crc", "__size", "__stratum", "__nth"):
+        same = same & (kept[c] == placed[c])
+    joined = kept.join(placed, same).select(*[kept[c] for c in docs.drop("shard", "slot").columns], "shard", "slot")
     joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 

@@ -260,3 +260,18 @@ def test_predictions_do_not_look_at_labels_of_held_out_rows(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     other = docs.withColumn("lang", F.when(language_id.held_out(), F.lit("zz")).otherwise(F.col("lang"))).withColumn("source", F.lit("q"))
     assert sorted(map(tuple, language_id.predictions(docs).collect())) == sorted(map(tuple, language_id.predictions(other).collect()))
+
+
+# shards
+
+
+def test_written_shards_keep_null_and_repeated_ids(spark, tmp_path):
+    from glintloom.llm import sharding
+
+    rows = [(None, "a"), (None, "a"), (None, "b"), (1, "a"), (1, "a"), (1, "c"), (2, None), (2, ""), (3, "x y")] * 3
+    docs = spark.createDataFrame([(i, t, "en", "s" if i != 3 else None, k, "old") for k, (i, t) in enumerate(rows)], SCHEMA + ", slot string")
+    sharding.write_shards(docs, str(tmp_path / "out"), shards=4)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.n_chars for r in out.collect()) == list(range(len(rows)))
+    assert sorted((r.shard, r.slot) for r in out.collect()) == sorted((r.shard, r.slot) for r in sharding.assign_shards(docs, 4).collect())
+    sharding.write_shards(docs.limit(0), str(tmp_path / "none"), shards=4)
