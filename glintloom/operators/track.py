@@ -1,16 +1,32 @@
 """Tracking over frames, where each step depends on the one before.
 
-A movie (dataset) is one group: its frames must be read in order, while movies run side
-by side. Within a group only numpy arrays of one movie are held.
+A short movie is one task's work; a long one is not tracked as a whole. The centre of a track is never farther than the
+radius from the localization that was added last, and a track that goes on has one in
+the last max_gap + 1 frames that count. So a localization can only meet tracks whose
+last localization lies within two radii and so many frames: the connected components of
+this relation do not touch each other. They are dealt to buckets, each bucket is tracked
+in order by one task, and the tracks of all buckets are numbered afterwards as one pass
+over the movie would have numbered them. Only a movie whose components hang together
+throughout is still one bucket's work.
 """
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glintloom.operators.graph import connected_components
+from glintloom.operators.shared import checkpointed, small
+
+#: Buckets to which the components of all movies are dealt.
+BUCKETS = 256
+#: Points of a dataset that one task tracks without a look at what hangs together.
+TOGETHER = 200_000
+
 
 def _nearest(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, radius: float) -> np.ndarray:
     """For each a the index of the nearest b at most radius away, else -1; first of equals. Cells as wide as the radius keep candidates few."""
@@ -46,6 +62,16 @@ class TrackState:
         self.ids = np.zeros(0, dtype=np.int64)
         self.age = np.zeros(0, dtype=np.int64)
         self.next_id = 0
+        #: Of the last frame, which localizations were refused by their nearest track.
+        self.refused = np.zeros(0, dtype=bool)
+
+    def pass_frames(self, n: int, max_gap: int) -> None:
+        """Ages the tracks by n frames without localizations."""
+        self.age = self.age + n
+        self._keep(self.age <= max_gap)
+
+    def _keep(self, alive: np.ndarray) -> None:
+        self.w, self.wx, self.wy, self.ids, self.age = self.w[alive], self.wx[alive], self.wy[alive], self.ids[alive], self.age[alive]
 
     def _start(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
         ids = np.arange(self.next_id, self.next_id + len(x), dtype=np.int64)
@@ -59,6 +85,7 @@ class TrackState:
         out = np.full(len(x), -1, dtype=np.int64)
         self.age = self.age + 1
         to_track = np.full(len(x), -1, dtype=np.int64)
+        self.refused = np.zeros(len(x), dtype=bool)
         if len(x) and len(self.ids):
             cx, cy = self.wx / self.w, self.wy / self.w
             to_track = _nearest(x, y, cx, cy, radius)
@@ -71,10 +98,9 @@ class TrackState:
             self.age[hit] = 0
             out[mutual] = self.ids[hit]
             # a localization whose nearest track has a nearer one starts a track at once
-            refused = (to_track >= 0) & ~mutual
+            refused = self.refused = (to_track >= 0) & ~mutual
             out[refused] = self._start(x[refused], y[refused], w[refused])
-        alive = self.age <= max_gap
-        self.w, self.wx, self.wy, self.ids, self.age = self.w[alive], self.wx[alive], self.wy[alive], self.ids[alive], self.age[alive]
+        self._keep(self.age <= max_gap)
         rest = to_track < 0
         out[rest] = self._start(x[rest], y[rest], w[rest])
         return out
@@ -91,19 +117,58 @@ def follow(fx: np.ndarray, fy: np.ndarray, age: np.ndarray, ids: np.ndarray, x:
     return out
 
 
-def _tracked(pdf: pd.DataFrame, radius: float, max_gap: int, descriptor: str, frames: np.ndarray) -> pd.DataFrame:
-    pdf = pdf.sort_values(["frame", "loc_id"], kind="stable").reset_index(drop=True)
-    weight = 1.0 + np.sqrt(pdf["sum"].to_numpy(float)) if "sum" in pdf else np.ones(len(pdf))
-    x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
-    category, ids, state = np.zeros(len(pdf), dtype=np.int32), np.full(len(pdf), -1, dtype=np.int64), TrackState()
-    at = pdf["frame"].to_numpy()
-    bounds = np.searchsorted(at, frames, side="left"), np.searchsorted(at, frames, side="right")
-    for f, a, b in zip(frames.tolist(), *bounds, strict=True):
-        kind = int(descriptor[f % len(descriptor)])
-        category[a:b] = kind - 1
-        if kind and radius > 0:
-            ids[a:b] = state.frame(x[a:b], y[a:b], weight[a:b], radius, max_gap)
-    return pdf.assign(category=category, track_id=ids)
+def _components(points: DataFrame, reach: float, steps: int) -> DataFrame:
+    """points (dataset_id, t, loc_id, x, y, ..) with bucket: the same for all that hang together over points at most `reach` apart and at most `steps` apart in t.
+
+    Datasets of up to TOGETHER points are one bucket. In others points are linked along
+    t within each pair of neighbouring square cells as wide as the reach: two points
+    that can meet lie in such a pair, and those between them in t are no farther apart.
+    So there are nine rows and as many links at most for each point, however dense they
+    are; points that are linked without need only make components larger.
+    """
+    sizes = points.groupBy("dataset_id").agg((F.count("*") > TOGETHER).alias("large"))
+    marked = points.join(small(sizes), "dataset_id")
+    few = marked.where("NOT large").drop("large").withColumn("bucket", F.lit(-1))
+    many = marked.where("large").drop("large")
+    if many.isEmpty():
+        return few
+    node = F.struct("dataset_id", "t", "loc_id")
+    cell = lambda c: F.floor(F.col(c) / (reach * (1 + 1e-9))).cast("long")
+    # a pair of cells is named by its first cell and the way to the second
+    ways = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
+    own = [F.struct(F.col("cx").alias("px"), F.col("cy").alias("py"), F.lit(k).alias("way")) for k in range(5)]
+    other = [F.struct((F.col("cx") - dx).alias("px"), (F.col("cy") - dy).alias("py"), F.lit(k).alias("way")) for k, (dx, dy) in enumerate(ways) if k]
+    each = many.select(node.alias("b"), "dataset_id", "t", "loc_id", cell("x").alias("cx"), cell("y").alias("cy")).withColumn("p", F.explode(F.array(*own, *other)))
+    along = Window.partitionBy("dataset_id", "p").orderBy("t", "loc_id")
+    links = each.select("b", "t", F.lag("b").over(along).alias("a"), F.lag("t").over(along).alias("ta")).where(F.col("t") - F.col("ta") <= steps)
+    groups = connected_components(links.select("a", "b").distinct())
+    joined = many.withColumn("node", node).join(groups, "node", "left")
+    dealt = joined.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("component", "node")), F.lit(BUCKETS)).cast("int")).drop("node", "component")
+    return few.unionByName(dealt)
+
+
+def _counted(frame: Column, descriptor: str) -> Column:
+    """How many frames before this one count."""
+    before = [sum(c != "0" for c in descriptor[:k]) for k in range(len(descriptor) + 1)]
+    within = F.array(*[F.lit(n) for n in before])
+    return (F.floor(frame / len(descriptor)) * before[-1] + within[F.pmod(frame, F.lit(len(descriptor))).cast("int")]).cast("long")
+
+
+def _bucket_tracks(pdf: pd.DataFrame, radius: float, max_gap: int) -> pd.DataFrame:
+    """Rows of one bucket in order with local_id, and phase at the first row of a track: 0 if its localization was refused by another track, else 1."""
+    pdf = pdf.sort_values(["t", "loc_id"], kind="stable").reset_index(drop=True)
+    x, y, w = (pdf[c].to_numpy(float) for c in ("x", "y", "w"))
+    t, ids, refused, live = pdf["t"].to_numpy(), np.full(len(pdf), -1, np.int64), np.zeros(len(pdf), bool), TrackState()
+    starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, np.int64)
+    last = None
+    for a, b in pairwise([*starts.tolist(), len(t)]):
+        if last is not None and t[a] - last > 1:
+            live.pass_frames(int(t[a] - last) - 1, max_gap)
+        ids[a:b] = live.frame(x[a:b], y[a:b], w[a:b], radius, max_gap)
+        refused[a:b], last = live.refused, t[a]
+    first = np.zeros(len(ids), bool)
+    first[np.unique(ids, return_index=True)[1]] = True
+    return pdf.assign(local_id=ids, phase=np.where(first, np.where(refused, 0, 1), -1).astype(np.int32))
 
 
 def tracker(locs: DataFrame, radius: float, max_gap: int = 0, descriptor: str = "1", analysed_empty: bool = True) -> DataFrame:
@@ -114,17 +179,62 @@ def tracker(locs: DataFrame, radius: float, max_gap: int = 0, descriptor: str =
     without one. The centre is weighted by 1 + sqrt(sum). The descriptor gives the
     category of each frame plus 1; frames with 0 neither age nor feed tracks. Frames
     without rows count as analysed, unless analysed_empty is False. Radius 0 sets
-    categories only and leaves track_id at -1.
+    categories only and leaves track_id at -1. Tracks are numbered in each dataset from
+    0 on in the order of their first frames; loc_ids tell the rows of a frame apart.
     """
     kept = locs.drop("category", "track_id")
-    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields], "category int", "track_id long"])
+    kinds = F.array(*[F.lit(int(c)) for c in descriptor])
+    kind = kinds[F.pmod(F.col("frame"), F.lit(len(descriptor))).cast("int")]
+    marked = kept.withColumn("category", (kind - 1).cast("int"))
+    if radius <= 0:
+        return marked.withColumn("track_id", F.lit(-1).cast("long"))
+    weight = 1 + F.sqrt(F.col("sum").cast("double")) if "sum" in kept.columns else F.lit(1.0)
+    points = marked.where("category >= 0").select("dataset_id", "frame", "loc_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), weight.cast("double").alias("w"))
+    if analysed_empty:
+        points = points.withColumn("t", _counted(F.col("frame"), descriptor))
+    else:
+        # frames that are there, a row for each frame of a movie
+        there = points.select("dataset_id", "frame").distinct().withColumn("t", F.row_number().over(Window.partitionBy("dataset_id").orderBy("frame")).cast("long"))
+        points = points.join(there, ["dataset_id", "frame"])
+    dealt = _components(points, 2 * radius, max_gap + 1)
+    ids = {k: locs.schema[k].dataType.simpleString() for k in ("dataset_id", "frame", "loc_id")}
+    schema = ", ".join([*[f"{k} {v}" for k, v in ids.items()], "bucket int, local_id long, phase int"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        present = np.unique(pdf["frame"].to_numpy())
-        frames = np.arange(present[0], present[-1] + 1) if analysed_empty else present
-        return _tracked(pdf, radius, max_gap, descriptor, frames)
+        return _bucket_tracks(pdf, radius, max_gap)[[*ids, "bucket", "local_id", "phase"]]
+
+    tracked = checkpointed(dealt.groupBy("dataset_id", "bucket").applyInPandas(run, schema))
+    # the number of a track: those that start in earlier frames, and in its own before it
+    starts = tracked.where("phase >= 0")
+    before = starts.groupBy("dataset_id", "frame").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("dataset_id").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select("dataset_id", "frame", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    here = Window.partitionBy("dataset_id", "frame").orderBy("phase", "loc_id")
+    named = starts.withColumn("place", F.row_number().over(here) - 1).join(before, ["dataset_id", "frame"])
+    named = named.select("dataset_id", "bucket", "local_id", (F.col("before") + F.col("place")).cast("long").alias("track_id"))
+    found = tracked.join(named, ["dataset_id", "bucket", "local_id"]).select(*ids, "track_id")
+    return marked.join(found, list(ids), "left").withColumn("track_id", F.coalesce("track_id", F.lit(-1).cast("long")))
 
-    return kept.groupBy("dataset_id").applyInPandas(run, schema)
+
+def _bucket_fiducials(pdf: pd.DataFrame, radius: float, max_gap: int) -> pd.DataFrame:
+    """Rows of one bucket in order with fiducial_id; seeds are the rows with t = -1 and have their id in `seed`."""
+    pdf = pdf.sort_values(["t", "loc_id"], kind="stable").reset_index(drop=True)
+    t, x, y = pdf["t"].to_numpy(), pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
+    n = int((t == -1).sum())
+    by = np.argsort(pdf["seed"].to_numpy()[:n], kind="stable")
+    ids, fx, fy, age = pdf["seed"].to_numpy()[:n][by].astype(np.int64), x[:n][by], y[:n][by], np.zeros(n, np.int64)
+    out, last = np.full(len(pdf), -1, np.int32), -1
+    starts = n + np.flatnonzero(np.r_[True, t[n + 1 :] != t[n:-1]]) if len(t) > n else np.zeros(0, np.int64)
+    for a, b in pairwise([*starts.tolist(), len(t)]):
+        age = age + (int(t[a]) - last - 1)
+        alive = age <= max_gap
+        fx, fy, ids, age = fx[alive], fy[alive], ids[alive], age[alive] + 1
+        out[a:b] = follow(fx, fy, age, ids, x[a:b], y[a:b], radius)
+        alive, last = age <= max_gap, int(t[a])
+        fx, fy, ids, age = fx[alive], fy[alive], ids[alive], age[alive]
+        if not len(ids):
+            break
+    return pdf.assign(fiducial_id=out)
 
 
 def fiducials(locs: DataFrame, radius: float, max_gap: int, reference_frame: int = 0) -> DataFrame:
@@ -132,27 +242,27 @@ def fiducials(locs: DataFrame, radius: float, max_gap: int, reference_frame: int
 
     Each live fiducial takes the nearest localization within radius and moves there; of
     two that take the same one the higher id is written. A fiducial is lost after more
-    than max_gap frames without a localization.
+    than max_gap frames without a localization. Fiducials are followed from the first
+    frame of a dataset on. They are numbered by their loc_ids in the reference frame.
     """
     kept = locs.drop("fiducial_id")
-    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields], "fiducial_id int"])
+    spans = kept.groupBy("dataset_id").agg(F.min("frame").alias("first"))
+    points = kept.join(spans, "dataset_id").select("dataset_id", (F.col("frame") - F.col("first")).cast("long").alias("t"), "frame", "loc_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(None).cast("int").alias("seed"))
+    # the localizations of the reference frame stand once more before the first frame
+    order = Window.partitionBy("dataset_id").orderBy("loc_id")
+    seeds = points.where(F.col("frame") == reference_frame).withColumns({"t": F.lit(-1).cast("long"), "seed": (F.row_number().over(order) - 1).cast("int")})
+    dealt = checkpointed(_components(points.unionByName(seeds), radius, max_gap + 1))
+    # buckets without a seed have no fiducial
+    used = dealt.join(dealt.where("t = -1").select("dataset_id", "bucket").distinct(), ["dataset_id", "bucket"], "left_semi")
+    ids = {k: locs.schema[k].dataType.simpleString() for k in ("dataset_id", "frame", "loc_id")}
+    schema = ", ".join([*[f"{k} {v}" for k, v in ids.items()], "fiducial_id int"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", "loc_id"], kind="stable").reset_index(drop=True)
-        at, x, y = pdf["frame"].to_numpy(), pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
-        out = np.full(len(pdf), -1, dtype=np.int32)
-        first = at == reference_frame
-        fx, fy, ids = x[first].copy(), y[first].copy(), np.arange(first.sum())
-        age = np.zeros(len(ids), dtype=np.int64)
-        for f in range(int(at.min()), int(at.max()) + 1) if len(at) else ():
-            a, b = np.searchsorted(at, f, side="left"), np.searchsorted(at, f, side="right")
-            age += 1
-            out[a:b] = follow(fx, fy, age, ids, x[a:b], y[a:b], radius)
-            alive = age <= max_gap
-            fx, fy, ids, age = fx[alive], fy[alive], ids[alive], age[alive]
-        return pdf.assign(fiducial_id=out)
-
-    return kept.groupBy("dataset_id").applyInPandas(run, schema)
+        found = _bucket_fiducials(pdf, radius, max_gap)
+        return found[(found["t"] >= 0) & (found["fiducial_id"] >= 0)][[*ids, "fiducial_id"]]
+
+    found = used.groupBy("dataset_id", "bucket").applyInPandas(run, schema)
+    return kept.join(found, list(ids), "left").withColumn("fiducial_id", F.coalesce("fiducial_id", F.lit(-1)))
 
 
 def average_fiducials(locs: DataFrame, length: int, fields: list[str], min_fraction: float) -> DataFrame:

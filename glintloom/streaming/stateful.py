@@ -78,12 +78,12 @@ class _Frames(StatefulProcessor):
         live.next_id = next_id
         out = []
         for f, part in ready.groupby("frame"):
-            self._pass(live, (f - last - 1) if last is not None else 0)
+            live.pass_frames((f - last - 1) if last is not None else 0, self.max_gap)
             out.append(self._frame(live, int(f), part))
             last = int(f)
         if last is not None and until > last:
             # frames without rows up to the watermark; how many there were must not be counted again
-            self._pass(live, until - last)
+            live.pass_frames(until - last, self.max_gap)
             last = int(until)
         rest = rows[rows["frame"] > until]
         self.waiting.put([tuple(r) for r in rest.astype(object).itertuples(index=False)]) if len(rest) else self.waiting.clear()
@@ -100,12 +100,6 @@ class _Frames(StatefulProcessor):
         else:
             yield pd.DataFrame({f.name: pd.Series(dtype=f.dataType.simpleString().replace("bigint", "int64")) for f in self.out.fields})
 
-    def _pass(self, live: TrackState, frames: int) -> None:
-        """Ages the tracks by frames without rows."""
-        live.age = live.age + frames
-        alive = live.age <= self.max_gap
-        live.w, live.wx, live.wy, live.ids, live.age = live.w[alive], live.wx[alive], live.wy[alive], live.ids[alive], live.age[alive]
-
     def _frame(self, live: TrackState, f: int, part: pd.DataFrame) -> pd.DataFrame:
         raise NotImplementedError
 
@@ -136,7 +130,7 @@ class _Fiducials(_Frames):
         else:
             live.age = live.age + 1
             out = follow(live.wx, live.wy, live.age, live.ids, x, y, self.radius)
-            self._pass(live, 0)
+            live.pass_frames(0, self.max_gap)
         return pd.DataFrame({"frame": np.full(len(part), f, np.int32), "loc_id": part["loc_id"].to_numpy(np.int64), "fiducial_id": out.astype(np.int32)})
 
 
