@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glintloom.operators import alignment, chained, master_drift, micrometry, tessellation, wavelet
+from glintloom.operators import alignment, bounds, chained, master_drift, micrometry, tessellation, wavelet
 from glintloom.plans.catalog import IMAGE_SQL, query, r, summed
 from glintloom.sources.views import LOCS_SQL, PTS_SQL, locs, pts
 
@@ -142,3 +142,18 @@ _IMAGE_SQL = f"{IMAGE_SQL}, whole AS (SELECT CAST(f AS INTEGER) AS frame, CAST(r
 def _(spark, sf):
     found = wavelet.wavelet_background(_image(spark, sf), 16, 16, 1, 10.0, 1, ["frame"])
     return found.select("frame", "y", "x", (F.round("background", 4) + 0.0).alias("background"))
+
+
+# the images as point-spread functions, with slopes that grow with the distance from the middle
+_FISHER_CELLS = [(i, j) for i in range(5) for j in range(i, 5)]
+
+
+@query("fisher_sums", f"""WITH {IMAGE_SQL}, p AS (SELECT frame, value AS psf, value * (x - 7.5) / 20 AS dx, value * (y - 7.5) / 20 AS dy, value * ((x - 7.5) * (x - 7.5) - (y - 7.5) * (y - 7.5)) / 400 AS dz FROM img),
+ s AS (SELECT *, psf / sum(psf) OVER (PARTITION BY frame) AS d0, 1 / sum(psf) OVER (PARTITION BY frame) AS scale FROM p),
+ d AS (SELECT frame, 1 / (d0 * 500 + 2) AS w, d0, -dx * scale * 500 / 160 AS d1, -dy * scale * 500 / 160 AS d2, dz * scale * 500 / 50 AS d3, 1.0 AS d4 FROM s)
+ SELECT frame, {", ".join(f"round(sum(w * d{i} * d{j}), 8) + CAST(0 AS DOUBLE) AS f{i}{j}" for i, j in _FISHER_CELLS)} FROM d GROUP BY frame""")
+def _(spark, sf):
+    x, y, v = F.col("x") - 7.5, F.col("y") - 7.5, F.col("value")
+    psf = summed(spark, sf).select("frame", v.alias("psf"), (v * x / 20).alias("dx"), (v * y / 20).alias("dy"), (v * (x * x - y * y) / 400).alias("dz"))
+    found = bounds.fisher_sums(psf, 500.0, 2.0, ["frame"], 160.0, 50.0)
+    return found.select("frame", *[(F.round(f"f{i}{j}", 8) + 0.0).alias(f"f{i}{j}") for i, j in _FISHER_CELLS])
