@@ -203,7 +203,10 @@ def similar_components(docs: DataFrame, shingle: int = 5, least: float = MIN_JAC
 
     Texts of equal words, as far as simhash tells words, are one node; sig is the hash of
     the words. Candidates share a MinHash band; all are compared, shingle by shingle,
-    but for those that other comparisons have joined already.
+    but for those that other comparisons have joined already. Texts without words, null
+    ones included, are one component; repeated rows give repeated rows; a null doc_id is
+    the smallest only where a component has no other. Other columns are not looked at;
+    an empty table gives an empty result.
     """
     prints = materialise(banded(docs, shingle))
     nodes = prints.groupBy("sig").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "key", "bands")).alias("first"), F.count("*").alias("n"))

@@ -127,7 +127,12 @@ def judged(verdicts: DataFrame, least_words: int = 20, most_repeated: int = 30)
 
 
 def apply_quality_rules(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
-    """docs without rejected rows, and without the boilerplate lines of the others. Columns stay; n_chars, if there, is counted anew."""
+    """docs without rejected rows, and without the boilerplate lines of the others. Columns stay; n_chars, if there, is counted anew.
+
+    Null, empty and blank texts have no words and are rejected. Rows equal in doc_id, text
+    and host are judged alike, and a null host is a host of its own. Long texts are
+    judged whole; other columns are carried along; an empty table stays empty.
+    """
     verdict = judged(line_verdicts(docs, host, limits)).where("NOT kept OR size(removed) > 0")
     verdict = verdict.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.coalesce("host", F.lit("")).alias("__host"), F.col("kept").alias("__kept"), F.col("removed").alias("__removed"))
     verdict = materialise(verdict.groupBy("__id", "__key", "__host").agg(F.first("__kept").alias("__kept"), F.first("__removed").alias("__removed")))

@@ -117,7 +117,13 @@ def scan(docs: DataFrame, model: PipelineModel, path: str = "source") -> DataFra
 
 
 def redact(docs: DataFrame, model: PipelineModel, mask: str = "<SECRET>") -> DataFrame:
-    """docs with every value found to be a secret replaced by mask, wherever it stands in the text of that doc_id."""
+    """docs with every value found to be a secret replaced by mask, wherever it stands in the text of that doc_id.
+
+    Null and empty texts, and those without secrets, stay as they are; long texts are
+    masked whole. Rows that share a doc_id, the null one included, share their secrets,
+    so repeated rows are masked alike. All columns stay, whatever their names; an empty
+    table stays empty.
+    """
     secrets = scan(docs, model).where("is_secret").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("value").alias("__values"))
     joined = docs.join(secrets, docs["doc_id"].eqNullSafe(F.col("__id")), "left")
     longest_first = F.reverse(F.array_sort(F.transform("__values", lambda v: F.struct(F.length(v), v.alias("v")))))

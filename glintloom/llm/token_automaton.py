@@ -252,7 +252,12 @@ def bpe_decode(encoded: DataFrame, vocabulary: str, ids: str = "token_ids", text
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:
-    """What bpe_decode(bpe_encode(docs)) gives, encoded and decoded by one Python worker for each task in place of two."""
+    """What bpe_decode(bpe_encode(docs)) gives, encoded and decoded by one Python worker for each task in place of two.
+
+    Null and empty texts have no ids and decode to the empty text; long texts are encoded
+    whole, every row stands for itself, and columns named as the results are replaced.
+    An empty table stays empty.
+    """
     new = (ids.lower(), decoded.lower())
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     read = docs.select(*kept, F.col(text).alias("__text"))

@@ -135,7 +135,12 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str
 
 
 def allowed_pages(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """The rows of pages that are not blocked, columns as before."""
+    """The rows of pages that are not blocked, columns as before.
+
+    Rows with a null url or one without a host fall to the method's verdict on the empty
+    host; repeated rows all stay or all go. Columns that clash with those of judge_urls
+    come back as they were; an empty table stays empty.
+    """
     judged = judge_urls(pages.select("*", F.struct("*").alias("__row")), labelled, rules)
     return judged.where("verdict = 'allow'").select("__row.*")
 
