@@ -12,6 +12,7 @@ throughout is still one bucket's work.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import pairwise
 
 import numpy as np
@@ -120,31 +121,33 @@ def follow(fx: np.ndarray, fy: np.ndarray, age: np.ndarray, ids: np.ndarray, x:
 def _components(points: DataFrame, reach: float, steps: int) -> DataFrame:
     """points (dataset_id, t, loc_id, x, y, ..) with bucket: the same for all that hang together over points at most `reach` apart and at most `steps` apart in t.
 
-    Datasets of up to TOGETHER points are one bucket. In others points are linked along
-    t within each pair of neighbouring square cells as wide as the reach: two points
-    that can meet lie in such a pair, and those between them in t are no farther apart.
-    So there are nine rows and as many links at most for each point, however dense they
-    are; points that are linked without need only make components larger.
+    Points are linked along t within each pair of neighbouring square cells as wide as
+    the reach: two points that can meet lie in such a pair, and those between them in t
+    are no farther apart. So there are nine rows and as many links at most for each
+    point, however dense they are; points that are linked without need only make
+    components larger.
     """
-    sizes = points.groupBy("dataset_id").agg((F.count("*") > TOGETHER).alias("large"))
-    marked = points.join(small(sizes), "dataset_id")
-    few = marked.where("NOT large").drop("large").withColumn("bucket", F.lit(-1))
-    many = marked.where("large").drop("large")
-    if many.isEmpty():
-        return few
     node = F.struct("dataset_id", "t", "loc_id")
     cell = lambda c: F.floor(F.col(c) / (reach * (1 + 1e-9))).cast("long")
     # a pair of cells is named by its first cell and the way to the second
     ways = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
     own = [F.struct(F.col("cx").alias("px"), F.col("cy").alias("py"), F.lit(k).alias("way")) for k in range(5)]
     other = [F.struct((F.col("cx") - dx).alias("px"), (F.col("cy") - dy).alias("py"), F.lit(k).alias("way")) for k, (dx, dy) in enumerate(ways) if k]
-    each = many.select(node.alias("b"), "dataset_id", "t", "loc_id", cell("x").alias("cx"), cell("y").alias("cy")).withColumn("p", F.explode(F.array(*own, *other)))
+    each = points.select(node.alias("b"), "dataset_id", "t", "loc_id", cell("x").alias("cx"), cell("y").alias("cy")).withColumn("p", F.explode(F.array(*own, *other)))
     along = Window.partitionBy("dataset_id", "p").orderBy("t", "loc_id")
     links = each.select("b", "t", F.lag("b").over(along).alias("a"), F.lag("t").over(along).alias("ta")).where(F.col("t") - F.col("ta") <= steps)
     groups = connected_components(links.select("a", "b").distinct())
-    joined = many.withColumn("node", node).join(groups, "node", "left")
-    dealt = joined.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("component", "node")), F.lit(BUCKETS)).cast("int")).drop("node", "component")
-    return few.unionByName(dealt)
+    joined = points.withColumn("node", node).join(groups, "node", "left")
+    return joined.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("component", "node")), F.lit(BUCKETS)).cast("int")).drop("node", "component")
+
+
+def _by_size(rows: DataFrame, whole: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """whole() of the datasets with up to TOGETHER rows, and cut() of the others; both give the same results."""
+    large = checkpointed(rows.groupBy("dataset_id").count().where(F.col("count") > TOGETHER).select("dataset_id"))
+    if large.isEmpty():
+        return whole(rows)
+    parts = [rows.join(small(large), "dataset_id", how).select(*rows.columns) for how in ("left_anti", "left_semi")]
+    return whole(parts[0]).unionByName(cut(parts[1]))
 
 
 def _counted(frame: Column, descriptor: str) -> Column:
@@ -189,6 +192,27 @@ def tracker(locs: DataFrame, radius: float, max_gap: int = 0, descriptor: str =
     if radius <= 0:
         return marked.withColumn("track_id", F.lit(-1).cast("long"))
     weight = 1 + F.sqrt(F.col("sum").cast("double")) if "sum" in kept.columns else F.lit(1.0)
+    names = [f.name for f in marked.schema.fields]
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in marked.schema.fields], "track_id long"])
+
+    def whole(rows: DataFrame) -> DataFrame:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            at = np.flatnonzero(pdf["category"].to_numpy() >= 0)
+            part = pdf.iloc[at]
+            points = pd.DataFrame({"row": at, "t": part["__t"].to_numpy(), "loc_id": part["loc_id"].to_numpy(), "x": part["x"].to_numpy(float), "y": part["y"].to_numpy(float), "w": part["__w"].to_numpy(float)})
+            if not analysed_empty:
+                points["t"] = np.unique(part["frame"].to_numpy(), return_inverse=True)[1]
+            found, ids = _bucket_tracks(points, radius, max_gap), np.full(len(pdf), -1, np.int64)
+            ids[found["row"].to_numpy()] = found["local_id"].to_numpy()
+            return pdf[names].assign(track_id=ids)
+
+        return rows.withColumns({"__t": _counted(F.col("frame"), descriptor), "__w": weight.cast("double")}).groupBy("dataset_id").applyInPandas(run, schema)
+
+    return _by_size(marked, whole, lambda rows: _cut_tracks(rows, weight, radius, max_gap, descriptor, analysed_empty))
+
+
+def _cut_tracks(marked: DataFrame, weight: Column, radius: float, max_gap: int, descriptor: str, analysed_empty: bool) -> DataFrame:
+    """marked with track_id, movies being tracked by components."""
     points = marked.where("category >= 0").select("dataset_id", "frame", "loc_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), weight.cast("double").alias("w"))
     if analysed_empty:
         points = points.withColumn("t", _counted(F.col("frame"), descriptor))
@@ -197,7 +221,7 @@ def tracker(locs: DataFrame, radius: float, max_gap: int = 0, descriptor: str =
         there = points.select("dataset_id", "frame").distinct().withColumn("t", F.row_number().over(Window.partitionBy("dataset_id").orderBy("frame")).cast("long"))
         points = points.join(there, ["dataset_id", "frame"])
     dealt = _components(points, 2 * radius, max_gap + 1)
-    ids = {k: locs.schema[k].dataType.simpleString() for k in ("dataset_id", "frame", "loc_id")}
+    ids = {k: marked.schema[k].dataType.simpleString() for k in ("dataset_id", "frame", "loc_id")}
     schema = ", ".join([*[f"{k} {v}" for k, v in ids.items()], "bucket int, local_id long, phase int"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -213,7 +237,7 @@ def tracker(locs: DataFrame, radius: float, max_gap: int = 0, descriptor: str =
     named = starts.withColumn("place", F.row_number().over(here) - 1).join(before, ["dataset_id", "frame"])
     named = named.select("dataset_id", "bucket", "local_id", (F.col("before") + F.col("place")).cast("long").alias("track_id"))
     found = tracked.join(named, ["dataset_id", "bucket", "local_id"]).select(*ids, "track_id")
-    return marked.join(found, list(ids), "left").withColumn("track_id", F.coalesce("track_id", F.lit(-1).cast("long")))
+    return marked.join(found, list(ids), "left").select(*marked.columns, F.coalesce("track_id", F.lit(-1).cast("long")).alias("track_id"))
 
 
 def _bucket_fiducials(pdf: pd.DataFrame, radius: float, max_gap: int) -> pd.DataFrame:
@@ -246,6 +270,26 @@ def fiducials(locs: DataFrame, radius: float, max_gap: int, reference_frame: int
     frame of a dataset on. They are numbered by their loc_ids in the reference frame.
     """
     kept = locs.drop("fiducial_id")
+    names = [f.name for f in kept.schema.fields]
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields], "fiducial_id int"])
+
+    def whole(rows: DataFrame) -> DataFrame:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            points = pd.DataFrame({"row": np.arange(len(pdf)), "t": pdf["frame"].to_numpy() - pdf["frame"].min(), "loc_id": pdf["loc_id"].to_numpy(), "x": pdf["x"].to_numpy(float), "y": pdf["y"].to_numpy(float), "seed": np.nan})
+            seeds = points[pdf["frame"].to_numpy() == reference_frame].sort_values("loc_id", kind="stable")
+            seeds = seeds.assign(t=-1, row=-1, seed=np.arange(len(seeds), dtype=float))
+            found = _bucket_fiducials(pd.concat([points, seeds]), radius, max_gap)
+            found, ids = found[found["row"] >= 0], np.full(len(pdf), -1, np.int32)
+            ids[found["row"].to_numpy()] = found["fiducial_id"].to_numpy()
+            return pdf[names].assign(fiducial_id=ids)
+
+        return rows.groupBy("dataset_id").applyInPandas(run, schema)
+
+    return _by_size(kept, whole, lambda rows: _cut_fiducials(rows, radius, max_gap, reference_frame))
+
+
+def _cut_fiducials(kept: DataFrame, radius: float, max_gap: int, reference_frame: int) -> DataFrame:
+    """kept with fiducial_id, movies being followed by components."""
     spans = kept.groupBy("dataset_id").agg(F.min("frame").alias("first"))
     points = kept.join(spans, "dataset_id").select("dataset_id", (F.col("frame") - F.col("first")).cast("long").alias("t"), "frame", "loc_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(None).cast("int").alias("seed"))
     # the localizations of the reference frame stand once more before the first frame
@@ -254,7 +298,7 @@ def fiducials(locs: DataFrame, radius: float, max_gap: int, reference_frame: int
     dealt = checkpointed(_components(points.unionByName(seeds), radius, max_gap + 1))
     # buckets without a seed have no fiducial
     used = dealt.join(dealt.where("t = -1").select("dataset_id", "bucket").distinct(), ["dataset_id", "bucket"], "left_semi")
-    ids = {k: locs.schema[k].dataType.simpleString() for k in ("dataset_id", "frame", "loc_id")}
+    ids = {k: kept.schema[k].dataType.simpleString() for k in ("dataset_id", "frame", "loc_id")}
     schema = ", ".join([*[f"{k} {v}" for k, v in ids.items()], "fiducial_id int"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -262,7 +306,7 @@ def fiducials(locs: DataFrame, radius: float, max_gap: int, reference_frame: int
         return found[(found["t"] >= 0) & (found["fiducial_id"] >= 0)][[*ids, "fiducial_id"]]
 
     found = used.groupBy("dataset_id", "bucket").applyInPandas(run, schema)
-    return kept.join(found, list(ids), "left").withColumn("fiducial_id", F.coalesce("fiducial_id", F.lit(-1)))
+    return kept.join(found, list(ids), "left").select(*kept.columns, F.coalesce("fiducial_id", F.lit(-1)).alias("fiducial_id"))
 
 
 def average_fiducials(locs: DataFrame, length: int, fields: list[str], min_fraction: float) -> DataFrame:
