@@ -1,10 +1,10 @@
 """Quality rules with cross-document line frequency (operator 9).
 
 Lines are normalised and hashed, and of each host (here: source) the distinct documents
-that hold a line are counted. Lines above the limit are boilerplate and are removed; a
-document of which too little is left is rejected. Copies of one text count as one
-document, so that a much copied page does not condemn its own lines. Only DataFrame
-functions are used.
+that hold a line are counted. Lines above the limit are boilerplate and are removed, but
+for the first document of the host that holds them; a document of which too little is
+left is rejected. So of a page with very many copies, equal or nearly so, the first one
+stays. Only DataFrame functions are used.
 
 One pass over the texts makes a narrow table of metrics and line hashes; counts and
 verdicts come from that table. Counts are taken before rows are moved, so that a line
@@ -28,13 +28,12 @@ _HAS_WORD = r"[^\x20\x09-\x0D]"
 
 @dataclass(frozen=True)
 class LineLimits:
-    """A line is boilerplate in a host if more than min_docs and more than max_share of its distinct documents hold it.
+    """A line is boilerplate in a host if more than min_docs of its distinct documents hold it.
 
     A document is depleted if less than min_left of its words are left, or fewer than min_words.
     """
 
     min_docs: int = 20
-    max_share: float = 0.05
     min_left: float = 0.2
     min_words: int = 10
 
@@ -85,13 +84,17 @@ def measured(docs: DataFrame, host: str = "source", window: int = 8) -> DataFram
 
 
 def frequent_lines(rows: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
-    """(host, hash, n_docs) of the lines above the limits, from measured rows. A null host is a host of its own."""
-    host = F.coalesce("host", F.lit(""))
-    docs = rows.groupBy(host.alias("host"), "key").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("n_host"))
-    each = rows.select(host.alias("host"), "key", F.explode(F.array_distinct(F.transform("lines", lambda x: x["hash"]))).alias("hash"))
-    counts = each.groupBy("host", "hash", "key").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count("*").alias("n_docs"))
-    counts = counts.where(F.col("n_docs") > limits.min_docs)
-    return counts.join(docs, "host").where(F.col("n_docs") > limits.max_share * F.col("n_host")).select("host", "hash", "n_docs")
+    """(host, hash, n_docs, first) of the lines above the limit, from measured rows; first is the (doc_id, key) that keeps the line.
+
+    Rows with equal doc_id and text are one document. The smallest doc_id is the first, a
+    null one before all; where it repeats, the smallest hash of the text. A null host is a
+    host of its own.
+    """
+    each = rows.select(F.coalesce("host", F.lit("")).alias("host"), "doc_id", "key", F.explode(F.array_distinct(F.transform("lines", lambda x: x["hash"]))).alias("hash"))
+    # distinct first, counted after: both halves are combined before rows move
+    once = each.groupBy("host", "hash", "doc_id", "key").agg(F.lit(1).alias("one"))
+    counts = once.groupBy("host", "hash").agg(F.count("*").alias("n_docs"), F.min(F.struct("doc_id", "key")).alias("first"))
+    return counts.where(F.col("n_docs") > limits.min_docs)
 
 
 def line_verdicts(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
@@ -104,7 +107,7 @@ def line_verdicts(docs: DataFrame, host: str = "source", limits: LineLimits = Li
     rows = materialise(measured(docs, host))
     frequent = materialise(frequent_lines(rows, limits))
     lines = rows.select("doc_id", "key", F.coalesce("host", F.lit("")).alias("host"), F.explode("lines").alias("line")).select("doc_id", "key", "host", "line.*")
-    marked = join_sized(lines, frequent.select("host", "hash"), ["host", "hash"], "left_semi", salts=16)
+    marked = join_sized(lines, frequent.select("host", "hash", "first"), ["host", "hash"], "inner", salts=16).where(~F.struct("doc_id", "key").eqNullSafe(F.col("first")))
     # repeated rows repeat their lines
     lost = marked.groupBy("doc_id", "key", "host", "number").agg(F.first("words").alias("words"))
     lost = lost.groupBy("doc_id", "key", "host").agg(F.sort_array(F.collect_list("number")).alias("removed"), F.sum("words").alias("n_removed"))
@@ -153,9 +156,8 @@ def oracle(limits: LineLimits = LineLimits()) -> str:
     raw AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM doc),
     lines AS (SELECT doc_id, host, text, line, {line} AS norm, len(list_filter(string_split({line}, ' '), lambda w: w <> '')) AS k FROM raw WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
     dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id),
-    hosts AS (SELECT host, count(DISTINCT text) AS n_host FROM doc GROUP BY host),
-    freq AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT text) AS n_docs FROM lines GROUP BY host, norm) JOIN hosts USING (host) WHERE n_docs > {limits.min_docs} AND n_docs > {limits.max_share} * n_host),
-    lost AS (SELECT doc_id, sum(k) AS n_removed FROM lines JOIN freq USING (host, norm) GROUP BY doc_id),
+    freq AS (SELECT host, norm, min(doc_id) AS first FROM lines GROUP BY host, norm HAVING count(DISTINCT doc_id) > {limits.min_docs}),
+    lost AS (SELECT doc_id, sum(k) AS n_removed FROM lines JOIN freq USING (host, norm) WHERE doc_id <> first GROUP BY doc_id),
     win AS (SELECT doc_id, s, list_slice(w, s, s + 7) AS win FROM doc, unnest(range(1, len(w) - 6)) AS t(s)),
     rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, s FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1), unnest(range(s, s + 8)) AS t(p) GROUP BY doc_id),
     m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
