@@ -12,7 +12,9 @@ One 64-bit SimHash cut into blocks of bits would not do: lines with edit similar
 differ in 7 bits in the median and up to 20, for which blocks of bits that are long
 enough to tell lines apart find one pair in seven. Short lines have too few words for
 blocks. Their keys are the SimHashes of the line with each word struck out in turn, and
-for those of at most three words the line with each character struck out.
+for those of at most three words the line with each character struck out. Lines whose
+words are few and long (text without spaces, addresses, codes) have blocks of the
+trigrams of their characters as well.
 
 What is joined is a few numbers for each line; texts are read again for candidate
 lines only. Similar lines are not compared pair by pair within a group, see linking.
@@ -42,6 +44,10 @@ LEAST_WORDS, LEAST_CHARACTERS = 3, 15
 BLOCKS_FROM, STRUCK_TO = 8, 15
 #: Words and characters up to which characters are struck out.
 SHORT_WORDS, SHORT_CHARACTERS = 3, 64
+#: Characters from which on a line has blocks of trigrams as well, if it has more than GRAM_WORD characters for each of its words, as text without spaces, addresses and codes have.
+GRAMS_FROM, GRAM_WORD = 24, 12
+#: Characters from which on similar() cuts such lines after some of their letters to align the pieces.
+_PIECES_FROM = 512
 #: Line hashes that a task remembers in order to make the keys of a line once, before it starts anew.
 _REMEMBERED = 1 << 17
 MIN_SIMILARITY = 0.8
@@ -87,6 +93,20 @@ def _distinct_words(lines: list[str]) -> np.ndarray:
     return keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
 
 
+def _has_grams(line: str) -> bool:
+    """Whether the words of a line are too few and long to tell an edit of one of them."""
+    return len(line) >= GRAMS_FROM and len(line) > GRAM_WORD * (line.count(" ") + 1)
+
+
+def _distinct_grams(line: str) -> np.ndarray:
+    """As _distinct_words for one line, number 0: of its distinct trigrams of characters, spaces left out. Each counts as five characters, so that three make a key."""
+    codes = np.frombuffer(line.replace(" ", "").encode("utf-32-le", "replace"), dtype="<u4").astype(np.uint64)
+    if len(codes) < 3:
+        return np.zeros(0, dtype=np.uint64)
+    grams = codes[:-2] | codes[1:-1] << np.uint64(21) | codes[2:] << np.uint64(42)
+    return np.unique(_mixed(grams) >> np.uint64(28)) << np.uint64(4) | np.uint64(5)
+
+
 def _bit_counts(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """How often each of the 64 bits is set, for each run of `sizes` hashes. Eight bits are counted at a time, in bytes of one integer."""
     pieces = (sizes + 254) // 255  # a byte counts to 255
@@ -147,10 +167,21 @@ def _fingerprinted(lines: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
             places += [k] * len(made)
             struck += made
     found.append((np.array(places, dtype=np.int64), np.array(struck, dtype=np.uint64)))
+    # trigrams of lines with few and long words: blocks of both kinds for all, an edit of one character meets three of them
+    unspaced = [k for k, x in enumerate(lines) if _has_grams(x)]
+    if unspaced:
+        grams = [_distinct_grams(lines[k]) for k in unspaced]
+        sizes_of = np.array([len(x) for x in grams])
+        words, at = np.concatenate(grams), np.repeat(np.array(unspaced, dtype=np.int64), sizes_of)
+        level = np.maximum(1, np.floor(np.log2(np.maximum(sizes_of, 1) / BLOCK_WORDS))).astype(np.int64)
+        for levels in (level, level + 1):
+            places_of, values_of = _block_keys(words, at, np.repeat(levels, sizes_of))
+            found.append((places_of, _mixed(values_of)))  # mixed once more, apart from the keys of words
     lines_of, values = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(lines_of, kind="stable")
     bounds = np.cumsum(np.bincount(lines_of, minlength=len(lines)))[:-1]
     looked_at = np.where(sizes > STRUCK_TO, sigs, np.uint64(0))
+    looked_at[unspaced] = 0  # an edit in each of a few long words would change all of it
     return looked_at.view(np.int64), np.split(values[order].view(np.int64), bounds)
 
 
@@ -304,6 +335,12 @@ def _common(a: str, b: str) -> int:
     return low
 
 
+def _pieces(line: str) -> list[str]:
+    """The line cut after about an eighth of its letters, chosen by their code alone, so that equal passages are cut alike."""
+    ends = "".join(c for c in sorted(set(line)) if xxhash.xxh32_intdigest(c.encode("utf-8", "replace")) % 8 == 0)
+    return re.split(f"(?<=[{re.escape(ends)}])", line) if ends else [line]
+
+
 def similar(a: str, b: str) -> bool:
     """Whether a and b differ by at most 1 - MIN_SIMILARITY of the longer one's characters in edit distance.
 
@@ -322,7 +359,11 @@ def similar(a: str, b: str) -> bool:
         return True
     if a.count(" ") == b.count(" ") and sum([max(len(x), len(y)) for x, y in zip(a.split(" "), b.split(" "), strict=True) if x != y]) <= most:
         return True
-    return _word_bound(a.split(" "), b.split(" "), most) <= most or edit_distance(a, b, most) <= most
+    if _word_bound(a.split(" "), b.split(" "), most) <= most:
+        return True
+    if len(a) >= _PIECES_FROM and len(a) > GRAM_WORD * (a.count(" ") + 1) and _word_bound(_pieces(a), _pieces(b), most) <= most:
+        return True
+    return edit_distance(a, b, most) <= most
 
 
 def _verified(pairs: DataFrame) -> DataFrame:

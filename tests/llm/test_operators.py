@@ -195,6 +195,46 @@ def test_lines_that_differ_in_fewer_words_than_blocks_share_a_key():
     assert one & other
 
 
+def test_lines_without_spaces_share_a_key():
+    rng = random.Random(12)
+    han = "".join(chr(rng.randrange(0x4E00, 0x6E00)) for _ in range(120))
+    token = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=100))
+    url = "https://example.org/" + "/".join("".join(rng.choices("abcdefgh-", k=9)) for _ in range(8))
+    for line in (han, token, url, han + " " + token, token[:40], han * 400):
+        for edits in (1, 3):
+            other = list(line)
+            for k in rng.sample(range(len(line)), edits):
+                other[k] = "_"
+            other = "".join(other)
+            sigs, keys = line_dedup.fingerprinted([line, other])
+            assert line_dedup.similar(line, other) and set(keys[0].tolist()) & set(keys[1].tolist()) and not sigs.any(), (line[:30], edits)
+    assert not line_dedup.similar(han, han[::-1]) and not line_dedup.similar(token * 9, token[::-1] * 9)
+    # pieces bound the distance from above only: the verdict is that of the distance
+    for _ in range(60):
+        a = "".join(rng.choices("abcde", k=700))
+        b = list(a)
+        for k in rng.sample(range(700), rng.choice((5, 60, 130, 160, 400))):
+            b[k] = rng.choice("abcdefg")
+        b = "".join(b)
+        assert line_dedup.similar(a, b) == (line_dedup.edit_distance(a, b) <= 140)
+
+
+def test_unspaced_line_recall_against_edit_similarity_alone(spark):
+    rng = random.Random(13)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 400)]
+    base = ["".join(rng.choices(letters, k=rng.randrange(30, 200))) for _ in range(40)]
+    docs = []
+    for i in range(160):
+        line = list(rng.choice(base))
+        for _ in range(rng.randrange(0, 1 + len(line) // 8)):
+            line[rng.randrange(len(line))] = rng.choice(letters)
+        docs.append((i, "".join(line)))
+    got = {r.doc_id: r.removed for r in line_dedup.repeated_lines(frame(spark, [t for _, t in docs])).collect()}
+    want = brute_lines(docs)
+    total, found = sum(map(len, want.values())), sum(len(set(v) & set(want[i])) for i, v in got.items())
+    assert total > 60 and found >= 0.9 * total and sum(map(len, got.values())) <= total
+
+
 def brute_lines(docs):
     """Components over edit similarity alone, without any candidate search."""
     lines = {}
@@ -391,11 +431,12 @@ def test_boilerplate_lines_are_removed_and_depleted_documents_rejected(spark):
     menu = words(30)
     texts = [words(40) + "\n" + menu.upper() for _ in range(60)] + [menu + f"\n{words(2)}" for _ in range(10)] + [words(50) for _ in range(30)]
     copy = words(80)
-    docs = frame(spark, texts + [copy] * 200)
+    near = [copy + f"\n{words(3)} {i}" for i in range(50)]
+    docs = frame(spark, texts + [words(80)] * 200 + near)
     out = {r.doc_id: r.text for r in quality_rules.apply_quality_rules(docs).collect()}
-    assert not set(out) & set(range(60, 70))
-    assert set(out) == set(range(300)) - set(range(60, 70))
-    assert all(menu.upper() not in out[i] for i in range(60)) and out[250] == copy
+    # of a page with many copies, equal or nearly so, the first stays; so does the first document with the menu
+    assert set(out) == set(range(60)) | set(range(70, 101)) | {300}
+    assert all(menu.upper() not in out[i] for i in range(1, 60)) and menu.upper() in out[0] and out[300] == near[0]
 
 
 def test_boilerplate_of_a_large_source_is_removed_in_the_pipeline(spark):
@@ -407,7 +448,7 @@ def test_boilerplate_of_a_large_source_is_removed_in_the_pipeline(spark):
     texts[30:50] = [f"{t}\nnot often enough" for t in texts[30:50]]
     docs = frame(spark, texts[:900], source="hot").unionByName(frame(spark, texts[900:], 900).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 60)))
     out = {r.doc_id: r.text for r in corpus_pipeline.quality(spark, docs, "").collect()}
-    assert len(out) == 2700 and all(out[i] == texts[i].split("\n")[0] for i in range(30)) and all(out[i] == texts[i] for i in range(30, 2700))
+    assert len(out) == 2700 and all(out[i] == texts[i].split("\n")[0] for i in range(1, 30)) and all(out[i] == texts[i] for i in [0, *range(30, 2700)])
 
 
 def test_quality_edges(spark, odd):
