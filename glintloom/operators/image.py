@@ -7,8 +7,10 @@ they are moved, and no image is ever one task's.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil, sqrt
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,3 +107,56 @@ def rolling_background(image: DataFrame, frames: int, keys: list[str], value: st
     counted = F.col(value) if skip is None else F.when(~F.col("__skip"), F.col(value))
     window = Window.partitionBy(*keys, "y", "x").orderBy("frame").rangeBetween(1 - frames, 0)
     return rows.withColumn("background", F.avg(counted).over(window)).select(*image.columns, "background")
+
+
+def filtered_changes(movie: DataFrame, kernel: Kernel, height: int, width: int, keys: list[str], frame: str = "frame", max_diff: float = 0.0, value: str = "value") -> DataFrame:
+    """keys, y, x, frame, until, value: matched_filter of every frame of a movie, valid from frame to before until, one row for each change.
+
+    A pixel is used anew only where it is more than max_diff away from the value last
+    used, so that the filter is off by at most max_diff times the sum of the kernel's
+    absolute weights. Only what changed is multiplied with the kernel; sums of changes are
+    added up over the frames. Frames are whole numbers; in a frame that has not a pixel,
+    that pixel is 0 and starts anew afterwards. Pixels met twice in a frame are added, null
+    values count as 0. A pixel's frames pass through one task in order, in batches.
+    """
+    here = Window.partitionBy(*keys, "y", "x").orderBy(frame)
+    once = movie.groupBy(*keys, frame, "y", "x").agg(F.coalesce(F.sum(F.col(value).cast("double")), F.lit(0.0)).alias("value"))
+    rows = once.withColumn("__starts", ~F.coalesce(F.lag(frame).over(here) == F.col(frame) - 1, F.lit(False)))
+    if max_diff > 0:
+        rows = _held(rows, max_diff)
+    last, following = F.lag("value").over(here), F.lead(frame).over(here)
+    rows = rows.withColumns({"__before": F.when(F.col("__starts"), 0.0).otherwise(last), "__ends": ~F.coalesce(following == F.col(frame) + 1, F.lit(False))})
+    ends = F.col("__ends")
+    steps = F.array(
+        F.struct(F.col(frame).alias("at"), (F.col("value") - F.col("__before")).alias("d"), F.col("__starts").cast("int").alias("n")),
+        F.struct((F.col(frame) + 1).alias("at"), F.when(ends, -F.col("value")).otherwise(0.0).alias("d"), (-ends.cast("int")).alias("n")),
+    )
+    changes = rows.select(*keys, "y", "x", F.explode(steps).alias("s")).where("s.d <> 0 OR s.n <> 0")
+    both = F.array(*[F.struct(F.lit(int(dy)).alias("dy"), F.lit(int(dx)).alias("dx"), F.lit(float(w)).alias("w")) for dy, dx, w in kernel])
+    moved = changes.select(*keys, "y", "x", "s.*", F.explode(both).alias("k"))
+    target = [*keys, F.pmod(F.col("y") + F.col("k.dy"), F.lit(height)).alias("y"), F.pmod(F.col("x") + F.col("k.dx"), F.lit(width)).alias("x"), F.col("at").alias(frame)]
+    sums = moved.groupBy(*target).agg(F.sum(F.col("d") * F.col("k.w")).alias("d"), F.sum("n").alias("n"))
+    running = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    added = sums.select(*keys, "y", "x", frame, F.lead(frame).over(here).alias("until"), F.sum("d").over(running).alias("value"), F.sum("n").over(running).alias("n"))
+    return added.where("n > 0").drop("n")
+
+
+def each_frame(changes: DataFrame, frame: str = "frame") -> DataFrame:
+    """The rows of filtered_changes, one for each frame in which they hold, without until."""
+    return changes.withColumn(frame, F.explode(F.sequence(frame, F.col("until") - 1))).drop("until")
+
+
+def _held(rows: DataFrame, max_diff: float) -> DataFrame:
+    """rows, in order of their pixels and frames, with the value last used; a row that starts is used as it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = 0.0
+        for batch in batches:
+            place, out = batch.schema.get_field_index("value"), []
+            for v, starts in zip(batch.column(place).to_pylist(), batch.column("__starts").to_pylist(), strict=True):
+                if starts or abs(v - used) > max_diff:
+                    used = v
+                out.append(used)
+            yield batch.set_column(place, "value", pa.array(out, pa.float64()))
+
+    return rows.mapInArrow(run, rows.schema)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glintloom.operators import alignment, bounds, chained, master_drift, micrometry, tessellation, wavelet
-from glintloom.plans.catalog import IMAGE_SQL, query, r, summed
+from glintloom.operators import alignment, bounds, chained, image, master_drift, micrometry, stacks, tessellation, wavelet
+from glintloom.plans.catalog import _PSF, IMAGE_SQL, _kernel_sql, query, r, summed
 from glintloom.sources.views import LOCS_SQL, PTS_SQL, locs, pts
 
 #: A side is what is left of the bisector of two points after all third points have cut it; its triangle adds to the area of the cell.
@@ -157,3 +157,35 @@ def _(spark, sf):
     psf = summed(spark, sf).select("frame", v.alias("psf"), (v * x / 20).alias("dx"), (v * y / 20).alias("dy"), (v * (x * x - y * y) / 400).alias("dz"))
     found = bounds.fisher_sums(psf, 500.0, 2.0, ["frame"], 160.0, 50.0)
     return found.select("frame", *[(F.round(f"f{i}{j}", 8) + 0.0).alias(f"f{i}{j}") for i, j in _FISHER_CELLS])
+
+
+# changes of frames, and stacks of frames
+
+
+@query("filtered_changes", f"WITH {IMAGE_SQL}, {_kernel_sql(_PSF)} SELECT frame, CAST((y + dy + 16) % 16 AS INTEGER) AS y, CAST((x + dx + 16) % 16 AS INTEGER) AS x, round(sum(value * w), 4) AS value FROM img, k GROUP BY ALL")
+def _(spark, sf):
+    found = image.filtered_changes(summed(spark, sf), _PSF, 16, 16, [])
+    return image.each_frame(found).select("frame", "y", "x", r("value", 4))
+
+
+def _stacks(spark, sf):
+    rows = summed(spark, sf).withColumn("z", F.floor(F.col("frame") / 2).cast("int"))
+    return [stacks.summed(rows.where(F.col("frame") % 2 == k)) for k in (0, 1)]
+
+
+_STACKS_SQL = f"{IMAGE_SQL}, s AS (SELECT frame % 2 AS half, CAST(floor(frame / 2) AS INTEGER) AS z, y, x, value FROM img)"
+
+
+@query("stack_lags", f"WITH {_STACKS_SQL}, l AS (SELECT lz, ly, lx FROM range(-1, 2) a(lz), range(-2, 3) b(ly), range(-1, 4) c(lx)) SELECT CAST(lz AS INTEGER) AS lz, CAST(ly AS INTEGER) AS ly, CAST(lx AS INTEGER) AS lx, round(sum(a.value * b.value), 3) AS s FROM l, s b JOIN s a ON a.half = 0 AND b.half = 1 AND a.z = b.z + lz AND a.y = b.y + ly AND a.x = b.x + lx GROUP BY ALL")
+def _(spark, sf):
+    return stacks.lag_sums(*_stacks(spark, sf), (0, 0, 1), (1, 2, 2)).select("lz", "ly", "lx", r("s", 3))
+
+
+def _moves_sql(name: str, shift: float) -> str:
+    return f"{name}(d, w) AS (VALUES " + ", ".join(f"({p}, {w!r}::DOUBLE)" for p, w in zip(range(-stacks.REACH, stacks.REACH + 1), stacks.kernel(stacks.np.arange(-stacks.REACH, stacks.REACH + 1) - shift)[0].tolist(), strict=True)) + ")"
+
+
+@query("stack_shift", f"WITH {_STACKS_SQL}, {_moves_sql('my', 0.25)}, {_moves_sql('mx', -0.4)} SELECT z, CAST(y + my.d AS INTEGER) AS y, CAST(x + mx.d AS INTEGER) AS x, round(sum(value * my.w * mx.w), 4) AS value FROM s, my, mx WHERE half = 0 AND y + my.d BETWEEN 0 AND 15 AND x + mx.d BETWEEN 0 AND 15 GROUP BY ALL")
+def _(spark, sf):
+    moved = stacks.translated(_stacks(spark, sf)[0], (0.0, 0.25, -0.4), (1 << 30, 16, 16))
+    return moved.select("z", "y", "x", r("value", 4))
