@@ -136,6 +136,15 @@ def track_mean(total: Column, length: Column) -> Column:
     return F.when(length > 0, total / length)
 
 
+def rounded_mean(value: Column, digits: int) -> Column:
+    """The mean of a group's values, rounded half up, as an aggregate: from their exact sum, whatever order rows come in, where each has at most eight decimals and ten digits before them; else from the sum of doubles."""
+    fixed = value.try_cast("decimal(18,8)")
+    exact = F.bool_and(value.isNull() | F.coalesce(fixed.cast("double") == value, F.lit(False)))
+    n = F.count("*")
+    mean = track_mean(F.sum(fixed).cast("decimal(27,8)"), n.cast("decimal(10,0)"))
+    return F.when(exact, F.round(mean, digits).cast("double")).otherwise(F.round(track_mean(F.sum(value), n), digits))
+
+
 def scaled_z(z: Column, z_min: float, z_max: float, size: int) -> Column:
     """z in the units of a spline of this many intervals between z_min and z_max, all in nm."""
     return F.lit(float(size)) * (z - z_min) / (z_max - z_min)

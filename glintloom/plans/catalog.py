@@ -761,8 +761,7 @@ def _(spark, sf):
 
 @query("track_means", f"WITH {LOCS_SQL} SELECT y, count(*) AS track_length, round(sum(sum) / count(*), 6) AS mean FROM locs GROUP BY y")
 def _(spark, sf):
-    tracks = locs(spark, sf).groupBy("y").agg(F.count("*").alias("track_length"), F.sum("sum").alias("total"))
-    return tracks.select("y", "track_length", F.round(C.track_mean(F.col("total"), F.col("track_length")), 6).alias("mean"))
+    return locs(spark, sf).groupBy("y").agg(F.count("*").alias("track_length"), C.rounded_mean(F.col("sum"), 6).alias("mean"))
 
 
 @query("spline_z", f"WITH {PTS_SQL} SELECT vec_id, round(20.0 * (z * 1000 + 500) / 1000, 6) AS scaled, round(0.001 * (20.0 * (z * 1000 + 500) / 1000 * 1000 / 20 - 500), 6) AS back FROM pts")
