@@ -29,8 +29,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, by: list[str]) -> DataFrame:
-    """df written as Parquet beside the checkpoints, in a folder for each value of the columns `by`, so that a filter on them reads no more than it needs."""
+def written(df: DataFrame, by: list[str] = ()) -> DataFrame:  # type: ignore[assignment]
+    """df written as Parquet beside the checkpoints, in a folder for each value of the columns `by`, so that a filter on them reads no more than it needs.
+
+    Loops that join a table with what they made of it before need this: a checkpoint
+    keeps the size that its plan was estimated to have, joins multiply sizes, and so the
+    digits of the estimate multiply in each round until they fill the driver. The size
+    of written files is what it is.
+    """
     path = f"{_shared_folder(df).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glintloom.operators.cluster import neighbour_clusters
-from glintloom.operators.shared import checkpointed
+from glintloom.operators.shared import checkpointed, written
 
 #: Most points in one small cell of the first round, and small cells along the side of a tile.
 CELL_POINTS, TILE_CELLS = 24, 8
@@ -200,7 +200,7 @@ def cells(points: DataFrame, point_id: str, keys: list[str] = (), last_points: i
         before = open_.select(*keys, "place", "known", "known_x", "known_y")
         joined = again.join(before, [*keys, "place"]).join(told, [*keys, "place"], "left")
         more = lambda old, new: F.concat(F.col(old), F.coalesce(F.col(f"told.{new}"), F.array().cast(joined.schema[old].dataType)))
-        open_ = checkpointed(joined.select(*keys, "place", "x", "y", more("known", "by").alias("known"), more("known_x", "by_x").alias("known_x"), more("known_y", "by_y").alias("known_y")))
+        open_ = written(joined.select(*keys, "place", "x", "y", more("known", "by").alias("known"), more("known_x", "by_x").alias("known_x"), more("known_y", "by_y").alias("known_y")))
         left = open_.count()
         width *= 2
     if not settled:
