@@ -2,15 +2,25 @@
 
 Points meet through square cells as wide as the radius: a left point is repeated for the
 nine cells around it and joined by equality, so no pair farther apart than two cells is
-ever looked at. Unbounded searches go through rings of cells only where keys bound the
-sides; see nearest().
+ever looked at. Searches for the k nearest, bounded or not, begin at a radius that suits
+the densest place and go on with wider ones for those points that have not found k yet;
+see _nearest_few().
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glintloom.operators.shared import written
+
+#: Up to so many pairs the k nearest are taken from all pairs within the radius.
+FEW_PAIRS = 5_000_000
+#: Most places in one cell of the grid that tells the greatest density.
+_CELL_PLACES = 64
+
 
 def _square(dx: Column, dy: Column, dz: Column | None = None) -> Column:
     d = dx * dx + dy * dy
@@ -43,14 +53,64 @@ def nearest_within(left: DataFrame, right: DataFrame, radius: float, left_id: st
     return out.select(*keys, left_id, F.coalesce("nearest_id", F.lit(-1)).alias("nearest_id"), F.coalesce("distance", F.lit(-1.0)).alias("distance"))
 
 
+def _extent(points: DataFrame) -> tuple[int, float]:
+    """Number of points, and the diagonal of their bounding box."""
+    n, *ends = points.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    return n, math.hypot(ends[1] - ends[0], ends[3] - ends[2]) if n and None not in ends else 0.0
+
+
+def _density(points: DataFrame, keys: list[str], n: int, extent: float) -> float:
+    """About the greatest density of places, in a grid fine enough for no cell to hold many."""
+    places = written(points.select(*keys, "x", "y").distinct())
+    width = extent / math.sqrt(n) * 4
+    for _ in range(40):
+        most = places.groupBy(*keys, F.floor(F.col("x") / width), F.floor(F.col("y") / width)).count().agg(F.max("count")).first()[0]
+        if most <= _CELL_PLACES:
+            break
+        width /= 2
+    return most / (width * width)
+
+
+def _nearest_few(left: DataFrame, right: DataFrame, k: int, radius: float, left_id: str, right_id: str, keys: list[str], among: Column, min_distance: float = 0.0) -> DataFrame:
+    """(keys, l_<id>, r_<id>, d2, rank from 1) of the k nearest right points within radius, of the pairs that `among` holds for.
+
+    All pairs within a radius hold the k nearest of every left point that has k of them;
+    the others are searched again in a ring of four times the area beyond min_distance.
+    So each round moves some pairs for a point, however many lie within the last radius.
+    """
+    l_id, r_id = f"l_{left_id}", f"r_{right_id}"
+    order = Window.partitionBy(*keys, l_id).orderBy("d2", r_id)
+    ranked = lambda points, width: pairs_within(points, right, width, left_id, right_id, keys).where(among).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    (n, extent), many = _extent(right), left.count()
+    if many * n <= FEW_PAIRS or not 0 < extent < math.inf or radius <= 0:
+        return ranked(left, radius)
+    area = 4 * k / math.pi / _density(right, keys, n, extent)
+    least = max(0.0, min_distance) ** 2
+    open_, out = left.select(*keys, left_id, "x", "y"), None
+    while True:
+        width = math.sqrt(least + area)
+        last = width >= radius
+        found = written(ranked(open_, radius if last else width))
+        done = found.where(F.col("rank") == k).select(*keys, F.col(l_id).alias(left_id))
+        kept = found if last else found.join(done.withColumnRenamed(left_id, l_id), [*keys, l_id], "left_semi")
+        out = kept if out is None else out.unionByName(kept)
+        if last:
+            return out
+        open_ = written(open_.join(done, [*keys, left_id], "left_anti"))
+        if open_.isEmpty():
+            return out
+        area *= 4
+
+
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: list[str]) -> DataFrame:
-    """For every left point the nearest right point of its keys, however far. All pairs of a key meet, so keys (a frame) must bound their number."""
+    """For every left point the nearest right point of its keys, however far; of equals the one with the smallest id. Keys (a frame) are asked for."""
+    keys = list(keys)
     if not keys:
         raise ValueError("an unbounded search needs keys")
-    b = right.select(*keys, F.col(right_id).alias("__r"), F.col("x").alias("__x"), F.col("y").alias("__y"))
-    d2 = _square(F.col("x") - F.col("__x"), F.col("y") - F.col("__y"))
-    best = left.join(b, keys).groupBy(*keys, left_id).agg(F.min(F.struct(d2.alias("d2"), "__r")).alias("b"))
-    return best.select(*keys, left_id, F.col("b.__r").alias("nearest_id"), F.sqrt("b.d2").alias("distance"))
+    sided = left.join(right.select(*keys).distinct(), keys, "left_semi")
+    _, extent = _extent(left.select("x", "y").unionByName(right.select("x", "y")))
+    best = _nearest_few(sided, right, 1, 1.001 * extent or 1.0, left_id, right_id, keys, F.lit(True))
+    return best.select(*keys, F.col(f"l_{left_id}").alias(left_id), F.col(f"r_{right_id}").alias("nearest_id"), F.sqrt("d2").alias("distance"))
 
 
 def mutual_nearest(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, keys: list[str] = ()) -> DataFrame:  # type: ignore[assignment]
@@ -64,9 +124,8 @@ def mutual_nearest(left: DataFrame, right: DataFrame, radius: float, left_id: st
 
 def k_nearest(points: DataFrame, k: int, max_distance: float, point_id: str, keys: list[str] = (), min_distance: float = 0.0) -> DataFrame:  # type: ignore[assignment]
     """The k nearest other points of each with min_distance < d <= max_distance: (keys, l_<id>, r_<id>, d2, rank from 1)."""
-    found = pairs_within(points, points, max_distance, point_id, point_id, keys).where((F.col(f"l_{point_id}") != F.col(f"r_{point_id}")) & (F.col("d2") > min_distance * min_distance))
-    order = Window.partitionBy(*keys, f"l_{point_id}").orderBy("d2", f"r_{point_id}")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    among = (F.col(f"l_{point_id}") != F.col(f"r_{point_id}")) & (F.col("d2") > min_distance * min_distance)
+    return _nearest_few(points, points, k, max_distance, point_id, point_id, list(keys), among, min_distance)
 
 
 def isolated(points: DataFrame, radius: float, point_id: str, keys: list[str] = ()) -> DataFrame:  # type: ignore[assignment]
