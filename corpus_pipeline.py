@@ -40,12 +40,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id.
 
+    Candidates are texts whose SimHashes differ in at most four bits, as operator 3 finds
+    them, and those that share a MinHash band; linked are those whose five-word shingles
+    have Jaccard similarity 0.8 or more.
     Texts without words, null ones included, are one group. Of repeated rows one stays;
     where a doc_id stands on several texts of a group, the smallest hash of the text
     decides. A null doc_id stays only if its group has no other. All columns stay; an
     empty table stays empty.
     """
-    return near_duplicates.first_of_groups(docs, near_duplicates.similar_components(docs))
+    return near_duplicates.first_of_groups(docs, near_duplicates.similar_components(docs, with_simhash=True))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,9 +9,10 @@ Rows: 64 keys of 20 or 21 bits for each distinct fingerprint. Equal fingerprints
 one node, whatever the number of documents. In buckets only some members are compared,
 see linking; the components are those of all links.
 
-The pipeline asks for another relation, Jaccard similarity of five-word shingles, at
-which SimHashes differ in too many bits for such keys. similar_components finds its
-candidates by MinHash bands and compares the shingles themselves.
+The pipeline takes these pairs as candidates for another relation, Jaccard similarity of
+five-word shingles, at which SimHashes may differ in too many bits for such keys. So
+similar_components finds more candidates by MinHash bands, and compares the shingles
+themselves.
 """
 
 from __future__ import annotations
@@ -166,22 +167,23 @@ def alike(a: set[bytes], b: set[bytes], least: float = MIN_JACCARD) -> bool:
 
 
 def banded(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, key, sig, bands): hash of the text, hash of its words, and band keys of each document; none for texts of fewer words, which only equal ones resemble."""
+    """(doc_id, key, sig, print, bands): hash of the text, hash of its words, SimHash, and band keys of each document; none for texts of fewer words, which only equal ones resemble."""
     read = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
-                sigs, bands = [], []
+                sigs, prints, bands = [], [], []
                 for t in batch.column(2).to_pylist():
                     words = (t or "").encode().lower().split()
                     sigs.append(xxhash.xxh64_intdigest(b" ".join(words)) if words else 0)
+                    prints.append(simhash(t))
                     bands.append(band_keys(shingles(t, shingle)) if len(words) >= shingle else [])
-                sigs = pa.array(np.array(sigs, dtype=np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sigs, pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "sig", "bands"])
+                sigs, prints = (pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (sigs, prints))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sigs, prints, pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "sig", "print", "bands"])
 
-    return read.mapInArrow(run, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, key long, sig long, bands array<long>")
+    return read.mapInArrow(run, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, key long, sig long, print long, bands array<long>")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -198,7 +200,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     return materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
 
 
-def similar_components(docs: DataFrame, shingle: int = 5, least: float = MIN_JACCARD) -> DataFrame:
+def similar_components(docs: DataFrame, shingle: int = 5, least: float = MIN_JACCARD, with_simhash: bool = False) -> DataFrame:
     """doc_id, key, sig, component and component_id, as near_duplicate_components, but linked by Jaccard similarity of word shingles.
 
     Texts of equal words, as far as simhash tells words, are one node; sig is the hash of
@@ -207,10 +209,12 @@ def similar_components(docs: DataFrame, shingle: int = 5, least: float = MIN_JAC
     ones included, are one component; repeated rows give repeated rows; a null doc_id is
     the smallest only where a component has no other. Other columns are not looked at;
     an empty table gives an empty result.
+
+    with_simhash also takes texts whose SimHashes differ in at most four bits as candidates.
     """
     prints = materialise(banded(docs, shingle))
-    nodes = prints.groupBy("sig").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "key", "bands")).alias("first"), F.count("*").alias("n"))
-    nodes = materialise(nodes.select("sig", F.col("sig").alias("id"), "least", "n", "first.*"))
+    nodes = prints.groupBy("sig").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "key", "bands")).alias("first"), F.min("print").alias("print"), F.count("*").alias("n"))
+    nodes = materialise(nodes.select("sig", F.col("sig").alias("id"), "least", "n", "print", "first.*"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs)
@@ -229,7 +233,12 @@ def similar_components(docs: DataFrame, shingle: int = 5, least: float = MIN_JAC
         return first.unionByName(_compared(left, texts, shingle, least))
 
     members = spread(nodes.select("id", "bands")).select(F.explode("bands").alias("key"), "id", F.lit(0).cast("long").alias("sig"))
-    return attach_components(prints.drop("bands"), nodes.select("sig", "id", "least", "n"), bucket_components(members, within(0), confirm))
+    found = bucket_components(members, within(0), confirm)
+    if with_simhash:
+        near = bucket_components(variants(spread(nodes.select("id", F.col("print").alias("sig")))), within(MAX_BITS), confirm, refine=finer_keys)
+        links = found.unionByName(near).where("node <> component")
+        found = materialise(components(links.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    return attach_components(prints.drop("bands", "print"), nodes.select("sig", "id", "least", "n"), found)
 
 
 def first_of_groups(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
