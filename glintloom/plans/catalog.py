@@ -555,9 +555,8 @@ def _(spark, sf):
 
 @query("cluster_renumber", _DBSCAN_SQL + " SELECT vec_id, coalesce(label - 1, 0) AS cluster_id FROM pts LEFT JOIN num ON c = vec_id")
 def _(spark, sf):
-    labels = cluster.dbscan(pts(spark, sf), 0.8, 3, "vec_id")
-    core = cluster.eps_pairs(pts(spark, sf), 0.8, "vec_id").groupBy(F.col("l_vec_id").alias("vec_id")).agg(F.count("*").alias("n")).where("n >= 3")
-    marked = labels.join(core, "vec_id", "left").withColumn("label", F.when(F.col("n").isNull(), -1).otherwise(F.col("label")))
+    labels = cluster.dbscan(pts(spark, sf), 0.8, 3, "vec_id", core="is_core")
+    marked = labels.withColumn("label", F.when(F.col("is_core"), F.col("label")).otherwise(-1))
     return cluster.renumbered(marked).select("vec_id", F.col("cluster_id").cast("int").alias("cluster_id"))
 
 
