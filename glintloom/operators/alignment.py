@@ -9,17 +9,20 @@ from glintloom.operators.aggregate import grid_2d, grid_3d
 from glintloom.operators.master_drift import Z_STEP, xy_offset, z_offset
 from glintloom.operators.shared import checkpointed
 
+#: Times that the search in x and y goes on around a higher lag than those near the expected one.
+MOVES = 12
+
 
 def track_offset(first: DataFrame, second: DataFrame, width: int, height: int, scale: int = 2, expected: tuple[float, float] = (0.0, 0.0), z_range: tuple[float, float] = (-0.5, 0.5)) -> tuple[float, float, float]:
     """(dx, dy, dz): what to add to the second list so that it lies on the first; pixels and microns.
 
-    x and y come from lags near the expected offset, z then from lags of the planes. z
+    x and y come from lags near the expected offset, or where they rise to, z then from lags of the planes. z
     outside z_range is put into the end planes. Raises where no offset can be measured.
     """
     w, h = width * scale, height * scale
     bins = int((z_range[1] - z_range[0]) / Z_STEP)
     flat = [checkpointed(grid_2d(t, w, h, float(scale))) for t in (first, second)]
-    dx, dy, found = xy_offset(*flat, w, h, (expected[0] * scale, expected[1] * scale))
+    dx, dy, found = xy_offset(*flat, w, h, (expected[0] * scale, expected[1] * scale), MOVES)
     if not found:
         raise ValueError("the lists cannot be aligned in x and y")
     dx, dy = dx / scale, dy / scale

@@ -69,21 +69,31 @@ def _patch(sums: DataFrame, centre: tuple[int, int]) -> np.ndarray:
     return out
 
 
-def xy_offset(first: DataFrame, second: DataFrame, width: int, height: int, expected: tuple[float, float]) -> tuple[float, float, bool]:
-    """How far second must be moved to lie on first, in cells: a Gaussian fitted to the correlation of both, less their medians, around the expected lag."""
+def xy_offset(first: DataFrame, second: DataFrame, width: int, height: int, expected: tuple[float, float], moves: int = 0) -> tuple[float, float, bool]:
+    """How far second must be moved to lie on first, in cells: a Gaussian fitted to the correlation of both, less their medians, around the expected lag.
+
+    A peak near the border of these lags fails. With moves, lags around the highest one
+    are looked at next, so many times at most, until a peak is well inside or none of
+    them is higher than the middle.
+    """
     centre = (round(expected[0]), round(expected[1]))
-    patch = _patch(xy_lag_sums(first, second, centre), centre)
     a, b = median_count(first, width * height), median_count(second, width * height)
-    if a:
-        patch -= a * _overlap_sums(second, width, height, centre, 1)
-    if b:
-        patch -= b * _overlap_sums(first, width, height, centre, -1)
-    if a and b:
-        lags = [np.abs(c + np.arange(-REACH, REACH + 1)) for c in centre]
-        patch += a * b * np.outer(np.maximum(width - lags[0], 0), np.maximum(height - lags[1], 0))
-    if not patch.any():
-        return 0.0, 0.0, False
-    fit, success = fit_peak(patch)
+    for left in range(moves, -1, -1):
+        patch = _patch(xy_lag_sums(first, second, centre), centre)
+        if a:
+            patch -= a * _overlap_sums(second, width, height, centre, 1)
+        if b:
+            patch -= b * _overlap_sums(first, width, height, centre, -1)
+        if a and b:
+            lags = [np.abs(c + np.arange(-REACH, REACH + 1)) for c in centre]
+            patch += a * b * np.outer(np.maximum(width - lags[0], 0), np.maximum(height - lags[1], 0))
+        if not patch.any():
+            return 0.0, 0.0, False
+        fit, success = fit_peak(patch)
+        top = tuple(c + int(k) - REACH for c, k in zip(centre, np.unravel_index(patch.argmax(), patch.shape), strict=True))
+        if success or not left or top == centre:
+            break
+        centre = top
     return float(centre[0] + fit[2] - REACH), float(centre[1] + fit[3] - REACH), success
 
 
