@@ -6,9 +6,10 @@ bucket and pass a test. Components over all links are found in two passes:
 1. Each member is tested against one member of its bucket, drawn by a hash of bucket
    and node, so that each bucket draws differently. The components of these links
    already hold most of every dense group.
-2. Only pairs of a bucket that are still in different components can matter. A member
-   outside the component of its bucket's drawn member is tested against the members of
-   other components. Buckets that lie in one component drop out whole.
+2. Only pairs of a bucket that are still in different components can matter, and pairs
+   with the drawn member are settled. Buckets whose other members lie in one component
+   drop out whole, whatever the drawn member's is. In those that are left a member
+   outside the component of most is tested against the members of other components.
 
 Every pair of a bucket is either inside one component after pass 1 or tested in pass 1
 or 2, so the components are exactly those of all links, while pairs inside a dense
@@ -31,8 +32,8 @@ from glintloom.llm.common import BROADCAST_CELLS, join_sized, materialise
 
 #: Rounds after which components() gives up; the number needed grows with the logarithm of the longest chain.
 MAX_ROUNDS = 60
-#: Members from which on a bucket is cut into finer ones, where there is a rule for it.
-REFINE_FROM = 64
+#: Tests that a bucket may take in pass 2: where it would take more it is cut into finer ones, if there is a rule for it.
+MOST_TESTS = 64 * 64
 
 
 #: What a test of two nodes reads: their columns by name.
@@ -99,8 +100,9 @@ def bucket_components(
     holds a small part of all members.
 
     refine(key, sig) gives finer keys, at least one of which any two near members of a
-    bucket share. They take the place of the key where more than REFINE_FROM members
-    share it, so that strangers in a crowded bucket are not compared with each other.
+    bucket share. They take the place of the key where pass 2 would take more than
+    MOST_TESTS tests in its bucket, so that strangers in a crowded bucket are not
+    compared with each other.
     """
     confirm = confirm or (lambda pairs: pairs)
     fields = [c for c in members.columns if c not in ("key", "id")]
@@ -120,23 +122,22 @@ def bucket_components(
     first = materialise(confirm(twos.unionByName(tested.select(F.col("id").alias("a"), F.col("head").alias("b"))).distinct()))
     groups = materialise(components(first))
     # pass 2: buckets of two are settled, and so are pairs with the drawn member
-    n_groups = groups.count()
-    wide = join_sized(wide, groups.withColumnRenamed("node", "id"), ["id"], "left", n_groups)
-    roots = groups.select(F.col("node").alias("head"), F.col("component").alias("head_component"))
-    wide = join_sized(wide, roots, ["head"], "left", n_groups).select(
-        "key", "id", *fields, "head", "n", F.coalesce("component", "id").alias("component"), F.coalesce("head_component", "head").alias("head_component")
-    )
-    if refine is not None:
-        finer = F.when(F.col("n") > REFINE_FROM, refine(F.col("key"), F.col("sig"))).otherwise(F.array(F.lit(-1).cast("long")))
-        wide = wide.where("id <> head").withColumn("sub", F.explode(finer))
-    else:
-        wide = wide.where("id <> head").withColumn("sub", F.lit(-1).cast("long"))
-    wide = materialise(wide)
-    odd = wide.where("component <> head_component").select("key", "sub", F.col("id").alias("a"), *renamed("a"), F.col("component").alias("component_a"), "head_component")
-    mates = wide.select("key", "sub", F.col("id").alias("b"), *renamed("b"), F.col("component").alias("component_b"))
+    wide = join_sized(wide.where("id <> head"), groups.withColumnRenamed("node", "id"), ["id"], "left", groups.count())
+    wide = materialise(wide.select("key", "id", *fields, F.coalesce("component", "id").alias("component")))
+    parts = wide.groupBy("key", "component").agg(F.count("*").alias("m"))
+    mixed = parts.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("x")).where("kinds > 1")
+    mixed = materialise(mixed.select("key", F.col("x.component").alias("main"), ((F.col("all") - F.col("x.m")) * F.col("all")).alias("tests")))
+    odd = wide.join(mixed, "key").where("component <> main").select("key", F.col("id").alias("a"), *renamed("a"), F.col("component").alias("component_a"), "main", "tests")
+    odd = materialise(odd)
+    mates = wide.select("key", F.col("id").alias("b"), *renamed("b"), F.col("component").alias("component_b"))
     # of two odd members one order is enough
-    new = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("head_component")) | (F.col("a") < F.col("b")))
-    more = odd.join(mates, (odd["key"] == mates["key"]) & (odd["sub"] == mates["sub"]) & new & near(named("a"), named("b"))).select("a", "b").distinct()
+    new = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main")) | (F.col("a") < F.col("b"))) & near(named("a"), named("b"))
+    crowded = F.col("tests") > (MOST_TESTS if refine is not None else (1 << 63) - 1)
+    more = odd.where(~crowded).join(mates, "key").where(new).select("a", "b")
+    if refine is not None and not (cut := mixed.where(crowded).select("key")).isEmpty():
+        finer = [t.withColumn("sub", F.explode(refine(F.col("key"), F.col(f"sig_{x}")))) for x, t in (("a", odd.where(crowded)), ("b", mates.join(cut, "key", "left_semi")))]
+        more = more.unionByName(finer[0].join(finer[1], ["key", "sub"]).where(new).select("a", "b"))
+    more = more.distinct()
     more = materialise(confirm(more))
     if more.isEmpty():
         return groups
