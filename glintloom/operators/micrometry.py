@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glintloom.operators.shared import checkpointed
+from glintloom.operators.shared import checkpointed, written
 from glintloom.operators.spatial import pairs_within, quad_matches, quads
 
 MAP = ("x0", "xx", "xy", "y0", "yx", "yy")
@@ -21,6 +21,10 @@ FAR = 8.0
 #: Fixed value: a map is good if its score is over this.
 GOOD = 10.0
 MAX_ROUNDS = 20
+#: Up to so many pairs of a map and a point all maps are scored on all points at once.
+FEW_SCORES = 5_000_000
+#: Points of a key, about, on which every map is looked at first.
+_FIRST_POINTS = 8
 
 
 def affine_columns(n: Column, s: dict[str, Column]) -> dict[str, Column]:
@@ -66,6 +70,51 @@ def moved(points: DataFrame) -> DataFrame:
     return points.withColumns({"x": F.col("x0") + F.col("xx") * x + F.col("xy") * y, "y": F.col("y0") + F.col("yx") * x + F.col("yy") * y})
 
 
+def _hits(maps: DataFrame, first: DataFrame, points: DataFrame, point_id: str, map_id: str, keys: list[str]) -> DataFrame:
+    """(keys, map_id, hits): sum of exp(-d * d / 2) over points, moved by each map, that have one of the first list nearby; maps without such points have no row."""
+    there = moved(maps.select(*keys, map_id, *MAP).join(points, keys)).select(*keys, F.struct(map_id, point_id).alias("at"), "x", "y")
+    # the points of first are repeated for the cells around them, the far more moved ones are not
+    near = pairs_within(first, there, FAR, point_id, "at", keys).groupBy(*keys, "r_at").agg(F.min("d2").alias("d2"))
+    return near.groupBy(*keys, F.col(f"r_at.{map_id}").alias(map_id)).agg(F.sum(F.exp(-F.col("d2") / 2)).alias("hits"))
+
+
+def contenders(maps: DataFrame, first: DataFrame, second: DataFrame, point_id: str, keys: list[str]) -> DataFrame:
+    """Of maps (keys, corners, x0 .. yy) those that can have the highest score of their key; the others cannot.
+
+    A point adds at most 1 to the hits of a map. So a map is out once its hits so far and
+    the points not yet looked at together are less than all hits of the map that has led
+    so far. Points come in rounds, drawn by hash, each as many as all before; where one map fits
+    nearly all points, few are needed to tell most maps off. Without such a map none is
+    left out before about all points are looked at.
+    Of maps that agree in ten decimals (seven of the shift), as those of one true map do, the one with the smallest corners is taken.
+    """
+    points = second.select(*keys, point_id, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    sizes = written(points.groupBy(*keys).agg(F.count("*").alias("n")))
+    few = lambda t: (t.groupBy(*keys).agg(F.count("*").alias("maps")).join(sizes, keys).agg(F.sum(F.col("maps") * F.col("n"))).first()[0] or 0) <= FEW_SCORES
+    if few(maps):
+        return maps
+    alike = [F.round(m, 7 if m in ("x0", "y0") else 10).alias(f"r_{m}") for m in MAP]
+    one = maps.groupBy(*keys, *alike).agg(F.min(F.struct("corners", *MAP)).alias("t")).select(*keys, "t.*")
+    now = written(one.withColumns({"hits": F.lit(0.0), "seen": F.lit(0).cast("long")}))
+    drawn = F.pmod(F.xxhash64(point_id), F.lit(1 << 40)) / (1 << 40) * F.col("n") / _FIRST_POINTS
+    turn = F.when(drawn < 1, 0).otherwise(F.floor(F.log2(drawn)) + 1).cast("int")
+    points = written(points.join(sizes, keys).withColumn("turn", turn).drop("n"))
+    last, best, k = points.agg(F.max("turn")).first()[0], None, 0
+    while k <= last and not few(now):
+        some = points.where(F.col("turn") == k).drop("turn")
+        more = _hits(now, first, some, point_id, "corners", keys).withColumnRenamed("hits", "more")
+        many = some.groupBy(*keys).agg(F.count("*").alias("many"))
+        now = now.join(more, [*keys, "corners"], "left").join(many, keys, "left")
+        now = written(now.select(*keys, "corners", *MAP, (F.col("hits") + F.coalesce("more", F.lit(0.0))).alias("hits"), (F.col("seen") + F.coalesce("many", F.lit(0))).alias("seen")))
+        leads = now.groupBy(*keys).agg(F.max(F.struct("hits", "corners", *MAP)).alias("t")).select(*keys, "t.*").drop("hits")
+        sure = _hits(written(leads), first, points.drop("turn"), point_id, "corners", keys).select(*keys, F.col("hits").alias("sure"))
+        best = written((sure if best is None else sure.unionByName(best)).groupBy(*keys).agg(F.max("sure").alias("sure")))
+        open_ = F.col("hits") + F.col("n") - F.col("seen") >= F.coalesce("sure", F.lit(0.0)) - 1e-9 * F.col("n")
+        now = written(now.join(sizes, keys).join(best, keys, "left").where(open_).select(*now.columns))
+        k += 1
+    return now.select(*keys, "corners", *MAP)
+
+
 def scores(maps: DataFrame, first: DataFrame, second: DataFrame, point_id: str, map_id: str, background: float, keys: list[str]) -> DataFrame:
     """(keys, map_id, score): log of foreground over background probability of each map.
 
@@ -75,9 +124,7 @@ def scores(maps: DataFrame, first: DataFrame, second: DataFrame, point_id: str,
     """
     points = second.select(*keys, point_id, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     sizes = second.groupBy(*keys).agg(F.count("*").alias("n"))
-    there = moved(maps.select(*keys, map_id, *MAP).join(points, keys)).select(*keys, F.struct(map_id, point_id).alias("at"), "x", "y")
-    near = pairs_within(there, first, FAR, "at", point_id, keys).groupBy(*keys, "l_at").agg(F.min("d2").alias("d2"))
-    hits = near.groupBy(*keys, F.col(f"l_at.{map_id}").alias(map_id)).agg(F.sum(F.exp(-F.col("d2") / 2)).alias("hits"))
+    hits = _hits(maps, first, points, point_id, map_id, keys)
     rated = maps.select(*keys, map_id).join(hits, [*keys, map_id], "left").join(sizes, keys)
     share = F.coalesce("hits", F.lit(0.0)) / F.col("n")
     return rated.select(*keys, map_id, F.log((F.lit(background) + (1 - background) * share) / background).alias("score"))
@@ -91,7 +138,8 @@ def best_maps(first: DataFrame, second: DataFrame, point_id: str, keys: list[str
     sides = [checkpointed(quads(p, point_id, min_size, max_size, neighbours, keys)) for p in (first, second)]
     found = hypotheses(all_matches(*sides, tolerance, keys), first, second, point_id, keys)
     corners = [f"{c}{k}" for k in (1, 2) for c in "abcd"]
-    maps = checkpointed(found.withColumn("corners", F.struct(*corners)).drop(*corners))
+    maps = written(found.withColumn("corners", F.struct(*corners)).drop(*corners))
+    maps = contenders(maps, first, second, point_id, keys)
     rated = scores(maps, first, second, point_id, "corners", background, keys)
     top = rated.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("score"), "corners")).alias("t"))
     top = top.select(*keys, (-F.col("t.score")).alias("score"), "t.corners")
