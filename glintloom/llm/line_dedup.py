@@ -50,6 +50,10 @@ GRAMS_FROM, GRAM_WORD = 24, 12
 _PIECES_FROM = 512
 #: Line hashes that a task remembers in order to make the keys of a line once, before it starts anew.
 _REMEMBERED = 1 << 17
+#: Parts of the key space for each task that looks for shared keys, and keys that are packed at once.
+_PARTS, _PACKED = 4, 1 << 19
+#: A key, and what is looked at of a line that has it.
+_MEMBER = np.dtype([("key", "<i8"), ("id", "<i8"), ("sig", "<i8"), ("size", "<i4")])
 MIN_SIMILARITY = 0.8
 #: Characters of lines, and words, that are hashed at once.
 _BLOCK, _CHUNK = 1 << 18, 1 << 12
@@ -137,8 +141,8 @@ def _block_keys(words: np.ndarray, line: np.ndarray, levels: np.ndarray) -> tupl
     return line[kept], _mixed(simhashes ^ _mixed(place))
 
 
-def _fingerprinted(lines: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """As fingerprinted, for at most 2**24 lines."""
+def _fingerprinted(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _keyed, for at most 2**24 lines."""
     keys = _distinct_words(lines)
     line = (keys >> np.uint64(40)).astype(np.int64)
     sizes = np.bincount(line, minlength=len(lines))
@@ -179,23 +183,27 @@ def _fingerprinted(lines: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
             found.append((places_of, _mixed(values_of)))  # mixed once more, apart from the keys of words
     lines_of, values = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(lines_of, kind="stable")
-    bounds = np.cumsum(np.bincount(lines_of, minlength=len(lines)))[:-1]
     looked_at = np.where(sizes > STRUCK_TO, sigs, np.uint64(0))
     looked_at[unspaced] = 0  # an edit in each of a few long words would change all of it
-    return looked_at.view(np.int64), np.split(values[order].view(np.int64), bounds)
+    return looked_at.view(np.int64), np.bincount(lines_of, minlength=len(lines)), values[order].view(np.int64)
 
 
-def fingerprinted(lines: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Of normalised lines the signed 64-bit SimHashes of their distinct words, 0 for those too short for one to tell, and their keys."""
-    sigs, keys, first, held = [np.zeros(0, dtype=np.int64)], [], 0, 0
+def _keyed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As fingerprinted, with the number of keys of each line and all keys one after another."""
+    found, first, held = [(np.zeros(0, dtype=np.int64),) * 3], 0, 0
     for k, line in enumerate(lines):
         held += len(line) + 1
         if held >= _BLOCK or k == len(lines) - 1:
-            some, more = _fingerprinted(lines[first : k + 1])
-            sigs.append(some)
-            keys += more
+            found.append(_fingerprinted(lines[first : k + 1]))
             first, held = k + 1, 0
-    return np.concatenate(sigs), keys
+    sigs, counts, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+    return sigs, counts, keys
+
+
+def fingerprinted(lines: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of normalised lines the signed 64-bit SimHashes of their distinct words, 0 for those too short for one to tell, and their keys."""
+    sigs, counts, keys = _keyed(lines)
+    return sigs, np.split(keys, np.cumsum(counts)[:-1]) if lines else []
 
 
 def near(a: Fields, b: Fields) -> Column:
@@ -209,11 +217,18 @@ def near(a: Fields, b: Fields) -> Column:
     return (F.abs(a["size"] - b["size"]) <= most) & alike
 
 
+def _cut(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The bytes of values as an array of so many values each."""
+    ends = np.concatenate([[0], np.cumsum(sizes) * values.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(values.tobytes())])
+
+
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, number, line_hash, size, sig, blocks) for each line with a word; key is the hash of the text, size the length of the normalised line.
+    """(doc_id, key, number, n_lines, line_hash, size, sig, blocks) for each line with a word; key is the hash of the text, size the length of the normalised line.
 
-    A text without such lines has one row, with number -1 and no hash. blocks are the
-    keys of the line; where it has been met before in the same task they may be missing.
+    A text without such lines has one row, with number -1 and no hash. The first row of
+    each text has its number of such lines. blocks are the keys of the line, eight bytes
+    each; where it has been met before in the same task they may be missing.
     """
     read = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
 
@@ -222,9 +237,10 @@ def line_table(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
-                row, number, hashes, lengths, new, places = [], [], [], [], [], []
+                row, number, counts, hashes, lengths, new, places = [], [], [], [], [], [], []
                 for r, t in enumerate(batch.column(2).to_pylist()):
                     found = [(k, plain) for k, line in enumerate((t or "").split("\n")) if (plain := normalised(line))] or [(-1, "")]
+                    counts += [len(found) if found[0][0] >= 0 else 0] + [None] * (len(found) - 1)
                     for k, x in found:
                         h = xxhash.xxh64_intdigest(x.encode("utf-8", "replace"))
                         if k >= 0 and h not in seen:
@@ -239,19 +255,82 @@ def line_table(docs: DataFrame) -> DataFrame:
                     seen.clear()
                 sigs, sizes, keys = np.zeros(len(number), dtype=np.int64), np.zeros(len(number), dtype=np.int32), np.zeros(0, dtype=np.int64)
                 if new:
-                    sigs[places], made = fingerprinted(new)
-                    sizes[places] = [len(x) for x in made]
-                    keys = np.concatenate(made)
-                blocks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys))
+                    sigs[places], sizes[places], keys = _keyed(new)
+                blocks = _cut(keys, sizes)
                 hashes = pa.array(np.array(hashes, dtype=np.uint64).view(np.int64), mask=np.array(number, dtype=np.int32) < 0)
                 at = pa.array(row, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), hashes, pa.array(lengths, pa.int32()), pa.array(sigs), blocks],
-                    names=["doc_id", "key", "number", "line_hash", "size", "sig", "blocks"],
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(counts, pa.int32()), hashes, pa.array(lengths, pa.int32()), pa.array(sigs), blocks],
+                    names=["doc_id", "key", "number", "n_lines", "line_hash", "size", "sig", "blocks"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return read.mapInArrow(run, f"doc_id {kind}, key long, number int, line_hash long, size int, sig long, blocks array<long>")
+    return read.mapInArrow(run, f"doc_id {kind}, key long, number int, n_lines int, line_hash long, size int, sig long, blocks binary")
+
+
+def _shared_keys(lines: DataFrame) -> DataFrame:
+    """(key, id, sig, size) of the lines of a line table, for keys that stand on two different lines or more.
+
+    Most keys stand on one line alone. All are moved once to find the others: packed,
+    those of many lines that go to one part of the key space in one row, so that a key
+    costs its 28 bytes and no row of its own. A task holds one part at a time.
+    """
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = tasks * _PARTS
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def packed() -> pa.RecordBatch:
+            members = np.concatenate(held)
+            held.clear()
+            part = ((_mixed(members["key"].view(np.uint64)) >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+            counts = np.bincount(part, minlength=parts)
+            found = np.flatnonzero(counts)
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), _cut(members[np.argsort(part, kind="stable")], counts[found])], names=["part", "members"])
+
+        for batch in batches:
+            blocks = batch.column(3).to_pylist()
+            counts = np.array([len(x) // 8 for x in blocks], dtype=np.int64)
+            some = np.empty(counts.sum(), dtype=_MEMBER)
+            some["key"] = np.frombuffer(b"".join(blocks), dtype=np.int64)
+            for k, name in enumerate(("id", "sig", "size")):
+                some[name] = np.repeat(batch.column(k).to_numpy(zero_copy_only=False), counts)
+            held.append(some)
+            if sum(map(len, held)) >= _PACKED:
+                yield packed()
+        if any(map(len, held)):
+            yield packed()
+
+    def shared(held: list[bytes]) -> pa.RecordBatch:
+        members = np.frombuffer(b"".join(held), dtype=_MEMBER)
+        order = np.argsort(members["key"])
+        keys = members["key"][order]
+        again = np.append(keys[1:] == keys[:-1], False)
+        again[1:] |= again[:-1]
+        members = members[order[again]]
+        firsts = np.flatnonzero(np.concatenate([[True], members["key"][1:] != members["key"][:-1]])[: len(members)])
+        if len(firsts):
+            several = np.minimum.reduceat(members["id"], firsts) != np.maximum.reduceat(members["id"], firsts)
+            members = members[np.repeat(several, np.diff(np.append(firsts, len(members))))]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(members[x])) for x in _MEMBER.names], names=list(_MEMBER.names))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        now = None
+        for batch in batches:
+            for part, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and part != now:
+                    yield shared(held)
+                    held.clear()
+                now = part
+                held.append(members)
+        if held:
+            yield shared(held)
+
+    rows = lines.where(F.length("blocks") > 0).select("line_hash", "sig", "size", "blocks")
+    dealt = rows.mapInArrow(pack, "part int, members binary").repartition(tasks, "part")
+    return dealt.sortWithinPartitions("part").mapInArrow(find, "key long, id long, sig long, size int")
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -379,22 +458,45 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long")
 
 
+def _roots(links: DataFrame, n: int) -> DataFrame:
+    """(node, root) for the nodes b of n materialised links (a, b), a < b, at most one for each b: the node at the end of the way from b to a to the node that a has, and so on."""
+    now = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    while True:
+        above = now.select(F.col("node").alias("root"), F.col("root").alias("higher"))
+        moved = materialise(join_sized(now.select("node", "root"), above, ["root"], "left", 2 * n).select("node", F.coalesce("higher", "root").alias("root"), "higher"))
+        if moved.where("higher IS NOT NULL").isEmpty():
+            return now
+        now = moved.select("node", "root")
+
+
 def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The line table of docs, its distinct lines (id, doc_id, number, key, n: first place and number of occurrences), and (node, component) of those linked to others."""
     lines = materialise(line_table(docs))
     nodes = lines.where("number >= 0").groupBy(F.col("line_hash").alias("id")).agg(F.min(F.struct("doc_id", "number", "key")).alias("x"), F.count("*").alias("n"))
     nodes = materialise(nodes.select("id", "x.*", "n"))
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs)
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = materialise(_texts_of(docs, nodes.select("id", "doc_id", "key", "number").join(ids, "id", "left_semi")))
+    def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
         # few bytes but much work: dealt by pair, or adaptive execution would leave them to one task
         return _verified(both.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b"))
 
-    members = lines.select(F.explode("blocks").alias("key"), F.col("line_hash").alias("id"), "sig", "size")
-    return lines.drop("size", "sig", "blocks"), nodes, bucket_components(members, near, confirm)
+    def confirm(pairs: DataFrame) -> DataFrame:
+        """Links that hold together the same lines as all similar pairs do: a pair that is held together already is not looked at."""
+        pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        texts = materialise(_texts_of(docs, nodes.select("id", "doc_id", "key", "number").join(ids, "id", "left_semi")))
+        # the pair of each line with its smallest partner goes first
+        chosen = materialise(pairs.groupBy("b").agg(F.min("a").alias("least")))
+        links = materialise(verified(chosen.select(F.col("least").alias("a"), "b"), texts))
+        n = links.count()
+        roots = _roots(links, n)
+        rest = join_sized(pairs, chosen, ["b"], "inner").where("a <> least").select("a", "b")
+        for x in ("a", "b"):
+            rest = join_sized(rest, roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), [x], "left", 2 * n)
+        rest = materialise(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+        return links.unionByName(verified(rest, texts))
+
+    return lines.drop("size", "sig", "blocks"), nodes, bucket_components(_shared_keys(lines), near, confirm)
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -414,9 +516,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     kept = materialise(join_sized(grouped.select("id", "component"), firsts, ["component"], "inner", salts=16).select(F.col("id").alias("line_hash"), "kept"))
     marked = join_sized(lines, kept, ["line_hash"], "left", salts=16)
     here = F.struct("doc_id", "number", "key")
-    gone = F.col("kept").isNotNull() & ~here.eqNullSafe(F.col("kept"))
-    number = F.when(F.col("number") >= 0, F.col("number"))
-    return marked.groupBy("doc_id", "key").agg(F.count_distinct(number).alias("n_lines"), F.sort_array(F.collect_set(F.when(gone, number))).alias("removed"))
+    marked = marked.withColumn("gone", F.col("kept").isNotNull() & ~here.eqNullSafe(F.col("kept")))
+    # lines that stay are not moved, but for the first of each text, which has their number
+    moved = marked.where("gone OR n_lines IS NOT NULL")
+    return moved.groupBy("doc_id", "key").agg(F.max("n_lines").cast("long").alias("n_lines"), F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("number")))).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
